@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitaframe.llm import decontaminate, substring_dedup
+from vitaframe.llm import decontaminate, packing, sharding, substring_dedup, topk, warc
 from vitaframe.llm.common import read
 
 
@@ -18,9 +18,29 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(read(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(read(spark, sf_dir, "pages"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(read(spark, sf_dir, "documents"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.report(read(spark, sf_dir, "embeddings"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_warc": op4_warc,
+    "op7_sharding": op7_sharding,
+    "op8_topk": op8_topk,
+    "op10_packing": op10_packing,
 }
 
 _A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,11 +57,11 @@ win AS (
   FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS p FROM item WHERE len(w) >= 10)),
 doc AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_A}', '{_Z}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
-at AS (
+place AS (
   SELECT doc_id, size, p, array_to_string(w[p:p + size - 1], ' ') AS gram
   FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS p
         FROM doc CROSS JOIN (SELECT DISTINCT size FROM win) WHERE len(w) >= size)),
-hit AS (SELECT at.doc_id, at.p, at.size, win.item_id FROM at JOIN win USING (size, gram)),
+hit AS (SELECT place.doc_id, place.p, place.size, win.item_id FROM place JOIN win USING (size, gram)),
 words AS (
   SELECT doc_id, count(DISTINCT q) AS n_hit
   FROM (SELECT doc_id, unnest(range(p, p + size)) AS q FROM (SELECT DISTINCT doc_id, p, size FROM hit)) GROUP BY doc_id),
@@ -69,5 +89,25 @@ kept AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(qs), 0) AS BIGINT) AS n_removed,
   sha256(coalesce(stay, '')) AS kept_sha256
 FROM doc LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
+    "op4_warc": """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+w AS (SELECT payload_digest, max(page_id) AS winner FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN winner IS NOT NULL AND (page_id IS NULL OR page_id < winner) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS NULL OR page_id < winner THEN winner END AS refers_to
+FROM p LEFT JOIN w USING (payload_digest)
+""",
+    "op8_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT DISTINCT vec_id AS query_id, v AS qv FROM v WHERE vec_id % 100 = 0),
+s AS (
+  SELECT query_id, vec_id, CAST(list_inner_product(qv, v) AS BIGINT) AS score
+  FROM q JOIN v ON len(q.qv) = len(v.v) AND vec_id <> query_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
 """,
 }
