@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitaframe.llm import decontaminate, packing, sharding, substring_dedup, topk, warc
+from vitaframe.llm import decontaminate, near_dup, packing, sharding, substring_dedup, topk, warc
 from vitaframe.llm.common import read
 
 
@@ -30,6 +30,10 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.report(read(spark, sf_dir, "embeddings"))
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.report(read(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op7_sharding": op7_sharding,
     "op8_topk": op8_topk,
+    "op9_near_dup": op9_near_dup,
     "op10_packing": op10_packing,
 }
 
@@ -109,5 +114,26 @@ s AS (
   FROM q JOIN v ON len(q.qv) = len(v.v) AND vec_id <> query_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 10
+""",
+    "op9_near_dup": rf"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_A}', '{_Z}'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w, ' ') AS s FROM doc WHERE len(w) BETWEEN 1 AND 4
+  UNION
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM doc WHERE len(w) >= 5)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter
+  FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * inter >= 85 * (x.n + y.n - inter)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM doc
+  UNION
+  SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM (SELECT DISTINCT doc_id FROM doc) LEFT JOIN size USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """,
 }
