@@ -181,7 +181,6 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     many = spark.sparkContext.broadcast(sketch(docs, bits))
     runs = repeated_runs(docs, many, bits)
     equal = ["anchor", "run1", "run2"]
-    runs = runs.checkpoint()
     firsts = runs.groupBy(equal).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("times"))
     kinds = firsts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("times").alias("uses"))
     firsts = firsts.join(kinds.where("uses > 1"), "anchor").select(*equal, "first_doc", "kinds")
