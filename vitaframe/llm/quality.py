@@ -30,7 +30,7 @@ BUCKETS = 1 << 16
 SHAPES = 1 << 10
 SCALE = 20.0
 SAMPLE = 4000
-STEPS = 250
+STEPS = 120
 PENALTY = 1e-4
 #: Documents below this probability of the best-separated upper grades are rejected.
 KEEP = 0.5
@@ -88,10 +88,10 @@ def fit_ordinal(codes: list[np.ndarray], grades: np.ndarray, steps: int = STEPS)
     rank = np.searchsorted(values, grades)
     k = len(values) - 1
     weight = 1.0 / np.bincount(rank)[rank] / (k + 1)
-    counts = np.array([len(c) for c in codes], "i8")
-    flat = np.concatenate(codes) if counts.sum() else np.zeros(0, "i4")
-    own = np.repeat(np.arange(len(codes)), counts)
-    share = np.repeat(SCALE / np.maximum(counts / 3, 1), counts)
+    distinct = [np.unique(c, return_counts=True) for c in codes]
+    flat = np.concatenate([d[0] for d in distinct])
+    own = np.repeat(np.arange(len(codes)), [len(d[0]) for d in distinct])
+    share = np.concatenate([SCALE * d[1] / max(len(c) / 3, 1) for d, c in zip(distinct, codes, strict=True)])
     w, gaps, first = np.zeros(size), np.zeros(k - 1), 0.0
     moments = [np.zeros((2, size)), np.zeros((2, k - 1)), np.zeros((2, 1))]
     for tick in range(1, steps + 1):
@@ -109,14 +109,14 @@ def fit_ordinal(codes: list[np.ndarray], grades: np.ndarray, steps: int = STEPS)
         np.add.at(dlimit, rank + 1, -weight * slope_low / p)
         dlimit = dlimit[1:-1]
         gradients = [np.bincount(flat, dz[own] * share, size) + PENALTY * w, np.cumsum(dlimit[::-1])[::-1][1:] * np.exp(gaps), np.array([dlimit.sum()])]
-        for value, gradient, m, rate in ((w, gradients[0], moments[0], 0.02), (gaps, gradients[1], moments[1], 0.02)):
+        for value, gradient, m, rate in ((w, gradients[0], moments[0], 0.05), (gaps, gradients[1], moments[1], 0.05)):
             m[0] += 0.1 * (gradient - m[0])
             m[1] += 0.01 * (gradient * gradient - m[1])
             value -= rate * (m[0] / (1 - 0.9**tick)) / (np.sqrt(m[1] / (1 - 0.99**tick)) + 1e-8)
         m = moments[2]
         m[0] += 0.1 * (gradients[2] - m[0])
         m[1] += 0.01 * (gradients[2] ** 2 - m[1])
-        first -= 0.02 * float((m[0] / (1 - 0.9**tick) / (np.sqrt(m[1] / (1 - 0.99**tick)) + 1e-8))[0])
+        first -= 0.05 * float((m[0] / (1 - 0.9**tick) / (np.sqrt(m[1] / (1 - 0.99**tick)) + 1e-8))[0])
     limits = first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
     return Ordinal(w, limits, [int(v) for v in values])
 
