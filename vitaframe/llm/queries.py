@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitaframe.llm import decontaminate, near_dup, packing, sharding, substring_dedup, topk, warc
+from vitaframe.llm import decontaminate, hpylm, near_dup, packing, quality, sharding, substring_dedup, topk, toxicity, warc
 from vitaframe.llm.common import read
 
 
@@ -18,10 +18,22 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(read(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(read(spark, sf_dir, "pages"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(read(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(read(spark, sf_dir, "documents"))
 
@@ -41,7 +53,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_warc": op4_warc,
+    "op5_quality": op5_quality,
+    "op6_pitman_yor": op6_pitman_yor,
     "op7_sharding": op7_sharding,
     "op8_topk": op8_topk,
     "op9_near_dup": op9_near_dup,
