@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "score_summary_long"
+from vitaframe.plans import scalars
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**scalars.QUERIES}
+ORACLE_SQL: dict[str, str] = {**scalars.ORACLE_SQL}
+FLAGSHIP = "i02_normalize_name"
