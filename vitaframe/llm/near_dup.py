@@ -5,9 +5,11 @@ signature coordinates: one places the shingles, the other, shifted by one place
 them. Bands of the signature give candidates; a link is confirmed on the two full sets of words.
 
 Documents with equal sets form a class at once; only one of each class goes on. In a band's bucket each
-document is compared with the bucket's smallest id, not with all others. Then, for buckets whose members
-still lie in different components, the members' pairs across components are compared too, so that no
-candidate is left out; members of one component need no further link. Components come from alternating
+document is compared with the smallest id, not with all others. What then shares a bucket across components is settled exactly by prefix
+filtering: with shingles ordered from rare to frequent, two sets of Jaccard 0.85 share one of the first
+|set| - ceil(0.85 |set|) + 1, and enough follow it in both. Edited copies have shingles of their own
+first, so a large group of near copies meets in few pairs; members of one component need no further link. The order
+comes from a sketch of counts; any fixed order gives the same links. Components come from alternating
 large-star and small-star steps on the links; nothing is collected to the driver.
 
 Defined results: no words (or null text) gives an empty set, linked with nothing; under five words the
@@ -17,6 +19,7 @@ the largest and stays null in component_id if nothing smaller is reached; extra
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +35,8 @@ BANDS = 20
 BAND_ROWS = 4
 PERCENT = 85
 SEED = 20_240_501
-#: Star rounds before the pairs across components are listed.
-STAR_ROUNDS = 2
+#: Counters that order the shingles, in so many blocks.
+ORDER_BITS, ORDER_BLOCKS = 22, 64
 
 
 def permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +133,62 @@ def components(links: DataFrame) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def across(placed: DataFrame) -> DataFrame:
+    """Rows (node, band, component) of the bands whose members lie in several components."""
+    mixed = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("band")
+    return placed.join(mixed, "band")
+
+
+def shingle_counts(texts: DataFrame) -> np.ndarray:
+    """How many of the texts have a shingle, by its hash's counter; at most 2^16 - 1."""
+    width = (1 << ORDER_BITS) // ORDER_BLOCKS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling, total = Rolling(), np.zeros(1 << ORDER_BITS, "u4")
+        for batch in batches:
+            for text in byte_rows(batch.column("text")):
+                np.add.at(total, (shingle_hashes(lower_words(text), rolling) >> np.uint64(64 - ORDER_BITS)).astype("i8"), 1)
+        blocks = np.minimum(total, 65535).astype("<u2").reshape(ORDER_BLOCKS, width)
+        some = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([zlib.compress(blocks[k].tobytes(), 1) for k in some], pa.binary())], ["block", "counts"])
+
+    def merge(key, table):
+        total = sum((np.frombuffer(zlib.decompress(x), "<u2").astype("u4") for x in table.column("counts").to_pylist()), np.zeros(width, "u4"))
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 65535).astype("<u2").tobytes()], pa.binary())], ["block", "counts"])
+
+    out = np.zeros((ORDER_BLOCKS, width), "u2")
+    for row in arrow_map(texts.select("text"), count, "block int, counts binary").groupBy("block").applyInArrow(merge, "block int, counts binary").toLocalIterator():
+        out[row.block] = np.frombuffer(bytes(row.counts), "<u2")
+    return out.ravel()
+
+
+def prefix_pairs(rest: DataFrame) -> DataFrame:
+    """Pairs (a, b) across components that share a shingle of their prefixes and have similar sizes. rest: node, component, text."""
+    order = rest.sparkSession.sparkContext.broadcast(shingle_counts(rest))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling, counts = Rolling(), order.value
+        for batch in batches:
+            parts = []
+            for text in byte_rows(batch.column("text")):
+                hashes = shingle_hashes(lower_words(text), rolling)
+                n = len(hashes)
+                rare = np.lexsort((hashes, counts[(hashes >> np.uint64(64 - ORDER_BITS)).astype("i8")]))
+                parts.append((hashes[rare[: n - -(-PERCENT * n // 100) + 1]].view("i8"), n))
+            each = [len(p[0]) for p in parts]
+            repeat = lambda x: np.repeat(np.asarray(x, "i8"), each)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[0] for p in parts])), *(pa.array(repeat(x)) for x in (batch.column("node").to_numpy(), batch.column("component").to_numpy(), [p[1] for p in parts])), pa.array(np.concatenate([np.arange(k) for k in each]))], ["shingle", "node", "component", "n", "place"])
+
+    rows = arrow_map(rest, prefixes, "shingle long, node long, component long, n long, place long")
+    mixed = rows.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("shingle")
+    rows = rows.join(mixed, "shingle").checkpoint()
+    mine, theirs = rows.alias("x"), rows.alias("y")
+    # At the first shared shingle, no more than the shingles from there on can be shared.
+    enough = f"{100 + PERCENT} * least(x.n - x.place, y.n - y.place) >= {PERCENT} * (x.n + y.n)"
+    similar = f"x.node < y.node and x.component <> y.component and {enough}"
+    return mine.join(theirs, F.col("x.shingle") == F.col("y.shingle")).where(similar).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """features() rows with `node` (the smallest doc_id with the same set), and (node, component) of linked nodes."""
     spark = docs.sparkSession
@@ -146,30 +205,12 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = members.select("node").distinct()
     texts = docs.select(known_id().alias("node"), "text").join(wanted, "node", "left_semi").checkpoint()
     links = confirmed(pairs, texts).checkpoint()
-    tested = pairs
     labels = components(links).checkpoint()
-    for round_ in range(STAR_ROUNDS + 1):
-        placed = members.join(labels, "node", "left").select("node", "n", "band", F.coalesce("component", "node").alias("component"))
-        mixed = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("band")
-        open_ = placed.join(mixed, "band").checkpoint()
-        if round_ < STAR_ROUNDS:  # the largest set of each bucket against the rest, then the smallest component's first
-            order = F.struct("n", "node", "component") if round_ == 0 else F.struct(F.xxhash64("node", "band").alias("n"), "node", "component")
-            leads = open_.groupBy("band").agg(F.max(order).alias("lead"))
-            near = open_.join(leads, "band").where(F.col("component") != F.col("lead.component"))
-            new = near.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"), "n").distinct()
-        else:  # whatever is left across components, within the sizes that can be similar
-            mine, theirs = open_.alias("x"), open_.alias("y")
-            new = mine.join(theirs, F.col("x.band") == F.col("y.band")).where(f"x.node < y.node and x.component <> y.component and 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        new = new.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti").checkpoint()
-        if new.isEmpty():
-            if round_ < STAR_ROUNDS:
-                continue
-            break
-        tested = tested.unionByName(new)
-        found = confirmed(new, texts).checkpoint()
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = components(links).checkpoint()
+    placed = members.join(labels, "node", "left").select("node", "band", F.coalesce("component", "node").alias("component"))
+    rest = across(placed).select("node", "component").distinct().join(texts, "node").checkpoint()
+    found = confirmed(prefix_pairs(rest).join(pairs, ["a", "b"], "left_anti"), texts).checkpoint()
+    if not found.isEmpty():
+        labels = components(links.unionByName(found)).checkpoint()
     named = rows.join(classes, equal, "left")
     return named.select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node")), labels
 
