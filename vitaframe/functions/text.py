@@ -199,7 +199,7 @@ def readable_text(html: Column, max_length: int | None = None) -> Column:
 def recover_json(c: Column) -> Column:
     """The JSON text inside a model's answer: whole, fenced, or from the first bracket to the last; none gives null."""
     text = F.trim(c)
-    inside = lambda mark: F.trim(F.split_part(F.split_part(text, F.lit(mark), F.lit(2)), F.lit("```"), F.lit(1)))
+    inside = lambda mark: F.btrim(F.split_part(F.split_part(text, F.lit(mark), F.lit(2)), F.lit("```"), F.lit(1)), F.lit(" \n\r\t"))
     span = lambda a, b: F.regexp_extract(text, rf"(?s)(\{a}.*\{b})", 1)
     candidates = [text, inside("```json"), inside("```"), span("{", "}"), span("[", "]")]
     good = [F.when(F.try_parse_json(x).isNotNull() & (x != ""), x) for x in candidates]
