@@ -8,7 +8,7 @@ from shard to shard within a task. Tasks' best k then meet per query.
 Defined results: vectors that are null, empty or hold null or non-finite components take no part;
 queries meet vectors of their own dimension only; equal scores rank by smaller vec_id; a query finds
 every row with another vec_id; rows with a null vec_id take no part; repeated query rows count once;
-scores beyond 64 bits saturate. Queries are broadcast in blocks of QUERY_BLOCK.
+scores beyond 64 bits saturate, and then tie. Queries are broadcast in blocks of QUERY_BLOCK.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ SCALE = 1024
 LEAF = 256
 SHARD_ROWS = 16_384
 QUERY_BLOCK = 4096
+LIMIT = 2**63
 
 
 def integers(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -66,9 +67,13 @@ class Tree:
         self.low, self.high = np.array(self.low), np.array(self.high)
         self.ids, self.points = ids[order], points[order]
 
+    def _limited(self, scores: np.ndarray) -> np.ndarray:
+        """Within 64 bits; only unbounded integers can leave those."""
+        return np.array([max(-LIMIT, min(LIMIT - 1, x)) for x in scores], object) if scores.dtype == object else scores
+
     def search(self, query_id: int, query: np.ndarray, best: list, k: int) -> None:
         """best: heap of (score, -vec_id), at most k; it may hold results of other trees."""
-        bound = np.maximum(query * self.low, query * self.high).sum(1)
+        bound = self._limited(np.maximum(query * self.low, query * self.high).sum(1))
         heap = [(-bound[0], 0)]
         while heap:
             top, node = heapq.heappop(heap)
@@ -80,7 +85,7 @@ class Tree:
                 heapq.heappush(heap, (-bound[right], right))
                 continue
             a, b = self.rows[node]
-            scores = self.points[a:b] @ query
+            scores = self._limited(self.points[a:b] @ query)
             fit = self.ids[a:b] != query_id
             near = np.flatnonzero(fit if len(best) < k else fit & (scores >= best[0][0]))
             if len(near) > k:
@@ -149,8 +154,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                     ids, points = [], []
             if ids:
                 search(ids, points)
-            limit = 2**63
-            rows = [(q, nth, -v, max(-limit, min(limit - 1, int(s)))) for nth, (q, _) in enumerate(held.value) for s, v in best[nth]]
+            rows = [(q, nth, -v, s) for nth, (q, _) in enumerate(held.value) for s, v in best[nth]]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["query_id", "nth", "vec_id", "score"])
 
         return arrow_map(dealt.select("vec_id", "v"), run, "query_id long, nth long, vec_id long, score long")
