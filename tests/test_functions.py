@@ -201,3 +201,16 @@ def test_scores_stay_in_range(spark, sf_dir):
     for c in evaluate.score_columns(frame):
         assert frame.where(~F.col(c).between(0, 1)).count() == 0, c
     assert json.dumps(frame.columns)
+
+
+def test_config():
+    from vitaframe.operators import session
+
+    nested = session.load_config('{"model": {"model": "m", "temperature": 0.5}, "subset": {"size": 3}, "styles": {"direct": true, "icl": false}, "other": 1}')
+    assert (nested.model.model, nested.model.temperature, nested.subset.size, nested.active_styles()) == ("m", 0.5, 3, ["direct"])
+    assert session.load_config('{"model": "flat", "tries": 2}').model.tries == 2
+    assert '"pages": 4' in session.summary(nested, 4)
+    assert session.logger("x").name == "vitaframe.x"
+    for bad in ('{"temperature": 3}', '{"size": 0}'):
+        with pytest.raises(ValueError, match="must"):
+            session.load_config(bad)

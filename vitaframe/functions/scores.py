@@ -144,36 +144,51 @@ def education_shares(pred: Column, truth: Column) -> Column:
     return F.struct(edge(count).alias("degree_count"), edge(i).alias("institution"), edge(y).alias("year"), edge((count + i + y) / 3).alias("overall"))
 
 
-def education_components(pred: Column, truth: Column, ratio: Callable[[Column, Column], Column] | None = None) -> Column:
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _comparable(entry: Column) -> Column:
+    return F.struct(normalize_degree(entry["degree"]).alias("degree"), normalize_school(entry["institution"]).alias("institution"), F.trim(F.coalesce(entry["year"], F.lit(""))).alias("year"))
+
+
+def _part(a: Column, b: Column, equal: Column) -> Column:
+    return F.when((a != "") & (b != ""), equal.cast("double")).when((a != "") | (b != ""), _zero())
+
+
+def pair_scores(p: Column, t: Column, near: Column | None = None) -> Column:
+    """struct<rank, degree, institution, year> of comparable entries; rank is the mean of the parts that count, or -1. near: institutions that are equal besides."""
+    same = (p["institution"] == t["institution"]) | F.contains(t["institution"], p["institution"]) | F.contains(p["institution"], t["institution"])
+    parts = F.array(_part(t["degree"], p["degree"], t["degree"] == p["degree"]), _part(t["institution"], p["institution"], same if near is None else same | near), _part(t["year"], p["year"], t["year"] == p["year"]))
+
+    def ranked(x: Column) -> Column:
+        known = F.filter(x, lambda y: y.isNotNull())
+        mean = F.when(F.size(known) > 0, F.aggregate(known, _zero(), lambda s, y: s + y) / F.size(known))
+        return F.struct(F.coalesce(mean, F.lit(-1.0)).alias("rank"), x[0].alias("degree"), x[1].alias("institution"), x[2].alias("year"))
+
+    return let(parts, ranked)
+
+
+def education_components(pred: Column, truth: Column) -> Column:
     """struct<degree, institution, year, combined>: means over the true entries of their best predicted one's parts.
 
-    An empty list on either side: nulls. ratio: a similarity that also makes institutions equal above 0.8.
+    An empty list on either side: nulls. Institutions are equal as normal forms or if one holds the other;
+    operators.profile.education_alignment also takes similar ones.
     """
-    part = lambda a, b: F.when((a != "") & (b != ""), (a == b).cast("double")).when((a != "") | (b != ""), _zero())
-
-    def pair(p: Column, t: Column) -> Column:
-        degree = part(normalize_degree(t["degree"]), normalize_degree(p["degree"]))
-        a, b = normalize_school(t["institution"]), normalize_school(p["institution"])
-        near = (a == b) | F.contains(a, b) | F.contains(b, a)
-        if ratio is not None:
-            near = near | (ratio(a, b) > 0.8)
-        school = F.when((a != "") & (b != ""), near.cast("double")).when((a != "") | (b != ""), _zero())
-        year = part(F.trim(F.coalesce(t["year"], F.lit(""))), F.trim(F.coalesce(p["year"], F.lit(""))))
-        parts = F.filter(F.array(degree, school, year), lambda x: x.isNotNull())
-        mean = F.aggregate(parts, _zero(), lambda s, x: s + x) / F.size(parts)
-        return F.struct(F.coalesce(F.when(F.size(parts) > 0, mean), F.lit(-1.0)).alias("rank"), degree.alias("degree"), school.alias("institution"), year.alias("year"))
-
-    def best(t: Column) -> Column:
-        ranked = F.transform(pred, lambda p, i: F.struct(pair(p, t)["rank"].alias("rank"), (-i).alias("first"), pair(p, t).alias("scores")))
-        return F.array_max(ranked)["scores"]
-
-    found = F.transform(truth, best)
-    mean = lambda f: F.aggregate(found, _zero(), lambda s, x: s + F.coalesce(f(x), _zero())) / F.size(found)
+
+    def best(ps: Column, t: Column) -> Column:
+        return F.array_max(F.transform(ps, lambda p, i: let(pair_scores(p, t), lambda s: F.struct(s["rank"].alias("rank"), (-i).alias("first"), s.alias("scores")))))["scores"]
+
+    def means(found: Column) -> Column:
+        mean = lambda f: F.aggregate(found, _zero(), lambda s, x: s + F.coalesce(f(x), _zero())) / F.size(found)
+        return F.struct(*(mean(lambda x, k=k: x[k]).alias(k) for k in ("degree", "institution", "year")), mean(lambda x: F.greatest(x["rank"], _zero())).alias("combined"))
+
     scored = (F.size(pred) > 0) & (F.size(truth) > 0)
-    return F.struct(
-        *(F.when(scored, mean(lambda x, k=k: x[k])).alias(k) for k in ("degree", "institution", "year")),
-        F.when(scored, mean(lambda x: F.greatest(x["rank"], _zero()))).alias("combined"),
-    )
+    aligned = let(F.transform(pred, _comparable), lambda ps: F.transform(F.transform(truth, _comparable), lambda t: best(ps, t)))
+    none = F.lit(None).cast("struct<degree:double,institution:double,year:double,combined:double>")
+    out = F.when(scored, let(aligned, means)).otherwise(none)
+    return F.struct(*(out[k].alias(k) for k in ("degree", "institution", "year", "combined")))
 
 
 def error_type(pred: Column, truth: Column) -> Column:

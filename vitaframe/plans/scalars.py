@@ -181,7 +181,6 @@ score("j15_text_score", "education", scores.text_score, f"CASE WHEN p IS NULL AN
 score("j17_set_jaccard", "committee_roles", scores.set_jaccard, _jac)
 score("j18_committee_score", "committee_roles", scores.committee_score, f"(SELECT CASE WHEN f IS NOT NULL OR j IS NOT NULL THEN round(0.5 * coalesce(f, 0) + 0.5 * coalesce(j, 0), 4) END FROM (SELECT {_flat_f1} AS f, {_jac} AS j))")
 score("j21_education_components", "education", lambda p, t: scores.education_components(education.parse_education(p), education.parse_education(t)), None)
-score("j21_education_components_ratio", "education", lambda p, t: F.struct(udfs.ratio_udf(education.normalize_school(F.get(education.parse_education(p), F.lit(0))["institution"]), education.normalize_school(F.get(education.parse_education(t), F.lit(0))["institution"])).alias("ratio")), None)
 score("j24_token_sort_ratio", "full_name", udfs.token_sort_udf, None)
 score("j25_strict_on_known", "full_name", lambda p, t: scores.exact_strict(p, t), f"CASE WHEN t IS NULL THEN NULL WHEN p IS NULL THEN 0.0::DOUBLE ELSE {_same} END")
 _n = lambda x: f"CASE WHEN {x} IS NULL OR {x} = '' THEN 0 ELSE (len(string_split({x}, '|')) + 1) // 3 END"
