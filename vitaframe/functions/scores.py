@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vitaframe.functions import tables as T
 from vitaframe.functions.dates import parse_date
 from vitaframe.functions.education import normalize_degree, normalize_school
-from vitaframe.functions.text import comparison_text, normalize_name, religion_category, religion_category_exact, string_leaves, string_set
+from vitaframe.functions.text import comparison_text, let, normalize_name, religion_category, religion_category_exact, string_leaves, string_set
 
 
 
@@ -64,8 +64,12 @@ def gender_match(pred: Column, truth: Column) -> Column:
 def religion_match(pred: Column, truth: Column, table: Mapping[str, str] = T.RELIGION_CATEGORIES, by_substring: bool = True) -> Column:
     """1 if equal, 0.7 if of one category, else 0; a blank side: null."""
     category = religion_category if by_substring else religion_category_exact
-    a, b = F.lower(F.trim(pred)), F.lower(F.trim(truth))
-    return F.when((a != "") & (b != ""), F.when(a == b, _one()).when(category(pred, table) == category(truth, table), F.lit(0.7)).otherwise(_zero()))
+
+    def score(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        return F.when((a != "") & (b != ""), F.when(a == b, _one()).when(category(a, table) == category(b, table), F.lit(0.7)).otherwise(_zero()))
+
+    return let(F.struct(F.lower(F.trim(pred)).alias("a"), F.lower(F.trim(truth)).alias("b")), score)
 
 
 def _f1(overlap: Column, n_pred: Column, n_truth: Column) -> Column:
@@ -76,11 +80,15 @@ def _f1(overlap: Column, n_pred: Column, n_truth: Column) -> Column:
 def unigram_f1(pred: Column, truth: Column) -> Column:
     """ROUGE-1 F over the tokens [a-z0-9]+ as multisets; for short fields (the overlap is found per distinct token)."""
     tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-    a, b = tokens(pred), tokens(truth)
     count = lambda items, x: F.size(F.filter(items, lambda y: y == x))
-    overlap = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
-    score = F.when((F.size(a) == 0) | (F.size(b) == 0), _zero()).otherwise(_f1(overlap, F.greatest(F.size(a), F.lit(1)), F.greatest(F.size(b), F.lit(1))))
-    return F.when(pred.isNotNull() & truth.isNotNull(), score)
+
+    def score(w: Column) -> Column:
+        a, b = w["a"], w["b"]
+        overlap = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
+        value = let(overlap, lambda o: _f1(o, F.greatest(F.size(a), F.lit(1)), F.greatest(F.size(b), F.lit(1))))
+        return F.when(a.isNotNull() & b.isNotNull(), F.when((F.size(a) == 0) | (F.size(b) == 0), _zero()).otherwise(value))
+
+    return let(F.struct(tokens(pred).alias("a"), tokens(truth).alias("b")), score)
 
 
 def flattened_f1(pred: Column, truth: Column) -> Column:
@@ -91,10 +99,15 @@ def flattened_f1(pred: Column, truth: Column) -> Column:
 def word_set_f1(pred: Column, truth: Column) -> Column:
     """F of the sets of words between white space; a missing side: 0; both without words: 1."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
-    a, b = words(pred), words(truth)
-    both_empty = (F.size(a) == 0) & (F.size(b) == 0)
-    score = F.when(both_empty, _one()).when((F.size(a) == 0) | (F.size(b) == 0), _zero()).otherwise(_f1(F.size(F.array_intersect(a, b)), F.greatest(F.size(a), F.lit(1)), F.greatest(F.size(b), F.lit(1))))
-    return F.when(pred.isNull() | truth.isNull(), _zero()).otherwise(score)
+
+    def score(w: Column) -> Column:
+        a, b = w["a"], w["b"]
+        both_empty = (F.size(a) == 0) & (F.size(b) == 0)
+        value = let(F.size(F.array_intersect(a, b)), lambda o: _f1(o, F.greatest(F.size(a), F.lit(1)), F.greatest(F.size(b), F.lit(1))))
+        known = F.when(both_empty, _one()).when((F.size(a) == 0) | (F.size(b) == 0), _zero()).otherwise(value)
+        return F.when(a.isNull() | b.isNull(), _zero()).otherwise(known)
+
+    return let(F.struct(words(pred).alias("a"), words(truth).alias("b")), score)
 
 
 def text_score(pred: Column, truth: Column) -> Column:
@@ -104,14 +117,18 @@ def text_score(pred: Column, truth: Column) -> Column:
 
 def set_jaccard(pred: Column, truth: Column) -> Column:
     """Of string sets; no truth: null; no prediction: 0."""
-    a, b = string_set(string_leaves(pred)), string_set(string_leaves(truth))
-    return F.when(b.isNotNull(), F.when(a.isNull(), _zero()).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))))
+
+    def score(w: Column) -> Column:
+        a, b = w["a"], w["b"]
+        return F.when(b.isNotNull(), F.when(a.isNull(), _zero()).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))))
+
+    return let(F.struct(string_set(string_leaves(pred)).alias("a"), string_set(string_leaves(truth)).alias("b")), score)
 
 
 def committee_score(pred: Column, truth: Column) -> Column:
     """Half flattened_f1, half set_jaccard, to four places; null if neither is scored."""
-    f, j = flattened_f1(pred, truth), set_jaccard(pred, truth)
-    return F.when(f.isNotNull() | j.isNotNull(), F.bround(0.5 * F.coalesce(f, _zero()) + 0.5 * F.coalesce(j, _zero()), 4))
+    both = F.struct(flattened_f1(pred, truth).alias("f"), set_jaccard(pred, truth).alias("j"))
+    return let(both, lambda x: F.when(x["f"].isNotNull() | x["j"].isNotNull(), F.bround(0.5 * F.coalesce(x["f"], _zero()) + 0.5 * F.coalesce(x["j"], _zero()), 4)))
 
 
 def entry_count(pred: Column, truth: Column) -> Column:
@@ -144,11 +161,6 @@ def education_shares(pred: Column, truth: Column) -> Column:
     return F.struct(edge(count).alias("degree_count"), edge(i).alias("institution"), edge(y).alias("year"), edge((count + i + y) / 3).alias("overall"))
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """`then` of a value that is computed once, however often it is used."""
-    return F.transform(F.array(value), then)[0]
-
-
 def _comparable(entry: Column) -> Column:
     return F.struct(normalize_degree(entry["degree"]).alias("degree"), normalize_school(entry["institution"]).alias("institution"), F.trim(F.coalesce(entry["year"], F.lit(""))).alias("year"))
 

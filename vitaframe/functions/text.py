@@ -15,14 +15,23 @@ def blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) != "", c)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def ordered_lookup(text: Column, table: Mapping[str, str], either_way: bool = False) -> Column:
     """Whole text first, then the first key (in table order) that the text contains; either_way: or that contains the text."""
-    out = F.lit(None).cast("string")
-    for key, value in reversed(table.items()):
-        inside = F.contains(text, F.lit(key))
-        out = F.when(inside | F.contains(F.lit(key), text) if either_way else inside, value).otherwise(out)
     whole = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
-    return F.coalesce(F.try_element_at(whole, text), out)
+
+    def found(t: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for key, value in reversed(table.items()):
+            inside = F.contains(t, F.lit(key))
+            out = F.when(inside | F.contains(F.lit(key), t) if either_way else inside, value).otherwise(out)
+        return F.coalesce(F.try_element_at(whole, t), out)
+
+    return let(text, found)
 
 
 def _accents() -> tuple[str, str]:
@@ -160,7 +169,10 @@ def is_missing(c: Column) -> Column:
 
 def string_leaves(c: Column) -> Column:
     """Texts of a list, of a list of records, or the text itself. Numbers and nulls of records are left out."""
-    text = F.regexp_replace(F.trim(c), r"(?<=[\[:, ])None(?=[,}\]])", "null")
+    return let(F.regexp_replace(F.trim(c), r"(?<=[\[:, ])None(?=[,}\]])", "null"), _leaves)
+
+
+def _leaves(text: Column) -> Column:
     options = {"allowSingleQuotes": "true"}
     records = F.from_json(text, "array<map<string,string>>", options)
     flat = F.from_json(text, "array<string>", options)
@@ -172,13 +184,13 @@ def comparison_text(items: Column) -> Column:
     """Lower-case letters and digits of the texts, without stop words; nothing left gives null."""
     text = F.regexp_replace(F.lower(F.array_join(F.filter(items, lambda x: x != ""), " ")), r"[^a-z0-9\s]", " ")
     words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: (w != "") & ~w.isin(T.TEXT_STOP_WORDS))
-    return blank_to_null(F.array_join(words, " "))
+    return let(F.array_join(words, " "), blank_to_null)
 
 
 def string_set(items: Column) -> Column:
     """Distinct lower-case texts with single spaces, sorted; none gives null."""
     out = F.array_sort(F.array_distinct(F.filter(F.transform(items, lambda x: F.regexp_replace(F.lower(F.trim(x)), r"\s+", " ")), lambda x: x.isNotNull() & (x != ""))))
-    return F.when(F.size(out) > 0, out)
+    return let(out, lambda x: F.when(F.size(x) > 0, x))
 
 
 _ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
