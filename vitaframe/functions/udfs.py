@@ -8,17 +8,26 @@ from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, StringType
 
+ColumnOrName = Column | str
 
-def _pairwise(function: Callable[[str, str], float]):
-    @F.pandas_udf(DoubleType())
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+
+def _pairwise(function: Callable[[str, str], float]) -> Callable[[ColumnOrName, ColumnOrName], Column]:
+    def of_batch(a: pd.Series, b: pd.Series) -> pd.Series:
         known: dict[tuple[str, str], float] = {}
-        return pd.Series([None if x is None or y is None else known.get((x, y)) or known.setdefault((x, y), function(x, y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+        for pair in zip(a, b, strict=True):
+            if None not in pair and pair not in known:
+                known[pair] = function(*pair)
+        return pd.Series([known.get(pair) for pair in zip(a, b, strict=True)], dtype="float64")
 
-    return run
+    def apply(a: ColumnOrName, b: ColumnOrName) -> Column:
+        # A new UDF each time: a used one holds on to the JVM and can't go to executors with this module.
+        return F.pandas_udf(of_batch, DoubleType())(a, b)
+
+    return apply
 
 
 def sequence_ratio(a: str, b: str) -> float:
