@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitaframe.plans import more, profiles, relational, scalars
+from vitaframe.plans import more, profiles, relational, reports, scalars
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**scalars.QUERIES, **relational.QUERIES, **profiles.QUERIES, **more.QUERIES}
-ORACLE_SQL: dict[str, str] = {**scalars.ORACLE_SQL, **relational.ORACLE_SQL, **profiles.ORACLE_SQL, **more.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**scalars.QUERIES, **relational.QUERIES, **profiles.QUERIES, **more.QUERIES, **reports.QUERIES}
+ORACLE_SQL: dict[str, str] = {**scalars.ORACLE_SQL, **relational.ORACLE_SQL, **profiles.ORACLE_SQL, **more.ORACLE_SQL, **reports.ORACLE_SQL}
 FLAGSHIP = "e03_ranking"
