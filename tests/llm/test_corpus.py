@@ -232,6 +232,19 @@ def test_encoders_agree_on_odd_texts():
         assert encode(text) == encode.slow.encode(text, add_special_tokens=False).ids, text
 
 
+def test_added_tokens_have_the_ids_of_tokenizers(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    fresh, encode = Tokenizer.from_file(path("byte_bpe_50k.json")), packing.ByteEncoder(path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "日本 <|endoftext|> é", "<|endoftext|", "z" * 1_000_001 + "<|endoftext|>"]
+    for text in texts:
+        assert encode(text) == fresh.encode(text, add_special_tokens=False).ids, text[:50]
+    assert encode(texts[0]) == [64, 220, 50256, 275]
+    got = packing.pack(spark.createDataFrame([(1, texts[0])], "doc_id long, text string"), with_ids=True).first()
+    assert (got.ids, got.length) == ([64, 220, 50256, 275, 0], 5)
+
+
 def test_rare_characters_are_split_alike():
     from public_tokenizers import path
 

@@ -37,7 +37,7 @@ class ByteEncoder:
     """Token ids of a byte-level vocabulary file for `tokenizers`.
 
     `tiktoken` computes the same ids from the same vocabulary five times as fast; it does so for the
-    texts in which both split words alike, and `tokenizers` does the rest.
+    texts in which both split words alike, and `tokenizers` does the rest, such as texts that hold an added token.
     """
 
     def __init__(self, path: str) -> None:
@@ -45,17 +45,17 @@ class ByteEncoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"] for t in spec.get("added_tokens", [])}
+        self.added = re.compile("|".join(map(re.escape, sorted(special))) or "(?!)")
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if len(text) > _LONG or not text.isascii() and _RARE.search(text):
+        if len(text) > _LONG or not text.isascii() and _RARE.search(text) or self.added.search(text):
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
