@@ -187,6 +187,20 @@ def test_fuzzy_join(spark):
     assert sorted((r.entity_id, r.gt_full_name) for r in got.collect()) == [(1, "Ann Roe"), (2, "Tim Poe")]
 
 
+def test_fuzzy_matches_beyond_one_block(spark):
+    left = spark.createDataFrame([("Catherine",), ("Zed",)], "full_name string")
+    right = spark.range(10_001).selectExpr("concat('q', id) AS full_name").union(spark.createDataFrame([("Katherine",)], "full_name string"))
+    got = evaluate.fuzzy_matches(left, right, "full_name").collect()
+    assert [(r.left_name, r.right_name, round(r.ratio)) for r in got] == [("Catherine", "Katherine", 89)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="ab c", max_size=9), max_size=5), st.lists(st.text(alphabet="ab c", max_size=9), max_size=5), st.sampled_from([0.0, 60.0, 85.0]))
+def test_best_token_sorts_against_all_pairs(lefts, rights, least):
+    best = ((a, min(((-udfs.token_sort_ratio(a, b), b) for b in rights if udfs.token_sort_ratio(a, b) > least), default=None)) for a in lefts)
+    assert udfs.best_token_sorts(lefts, rights, least) == [(a, m[1], -m[0]) for a, m in best if m]
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.text(alphabet="ab c", max_size=12), st.text(alphabet="ab c", max_size=12))
 def test_token_sort_is_symmetric(a, b):

@@ -48,6 +48,34 @@ def token_sort_ratio(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(a) + len(b))
 
 
+def best_token_sorts(lefts: list[str], rights: list[str], least: float) -> list[tuple[str, str, float]]:
+    """(left, right, token_sort_ratio) of each left text's best right one above `least`; ties to the smaller.
+
+    The common subsequence is counted bit-parallel; a pair is skipped only if its lengths bound the ratio by `least`.
+    """
+    words = [(" ".join(sorted(x.split())), x) for x in rights]
+    out = []
+    for left in lefts:
+        a = " ".join(sorted(left.split()))
+        full, masks, best = (1 << len(a)) - 1, {}, None
+        for k, x in enumerate(a):
+            masks[x] = masks.get(x, 0) | 1 << k
+        for b, right in words:
+            total = len(a) + len(b)
+            if total and 200.0 * min(len(a), len(b)) / total <= least:
+                continue
+            row = full
+            for y in b:
+                both = row & masks.get(y, 0)
+                row = (row + both | row - both) & full
+            ratio = 200.0 * (len(a) - row.bit_count()) / total if total else 100.0
+            if ratio > least and (best is None or (-ratio, right) < best):
+                best = (-ratio, right)
+        if best:
+            out.append((left, best[1], -best[0]))
+    return out
+
+
 ratio_udf = _pairwise(sequence_ratio)
 token_sort_udf = _pairwise(token_sort_ratio)
 
