@@ -199,6 +199,13 @@ def test_keep_one(docs):
     assert got == [-1, 1, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14]
 
 
+def test_keep_one_of_rows_without_an_id_of_their_own(spark):
+    one, two, three, four = (" ".join(words(60, k)) for k in (301, 302, 303, 304))
+    rows = [(None, one), (None, two), (None, three), (7, three), (8, one + " x"), (9, two), (9, four), (9, four), (None, None), (10, two)]
+    got = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in got) == sorted([(7, three), (8, one + " x"), (9, two), (9, four), (-1, "")])
+
+
 # Packing
 
 

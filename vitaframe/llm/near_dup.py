@@ -15,6 +15,7 @@ large-star and small-star steps on the links; nothing is collected to the driver
 Defined results: no words (or null text) gives an empty set, linked with nothing; under five words the
 whole sequence is the one shingle; rows that share a doc_id are one document; a null doc_id counts as
 the largest and stays null in component_id if nothing smaller is reached; extra columns take no part.
+keep_one() tells rows apart by a 64-bit hash of id and text instead, so that no text goes for a shared or missing id.
 """
 
 from __future__ import annotations
@@ -228,10 +229,12 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one whose id is the component's; of rows that share that id, one."""
+    """The document with the smallest id of each component; rows are one document only if both id and text agree."""
     spark = docs.sparkSession
     prepare(spark)
-    name = free_name(docs, "nd_id")
-    kept = resolve(docs).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    chosen = docs.withColumn(name, known_id()).join(kept, name, "left_semi")
-    return chosen.dropDuplicates([name]).select(*docs.columns)
+    name = free_name(docs, "nd_key")
+    keyed = docs.withColumn(name, F.xxhash64("doc_id", "text"))
+    found = resolve(keyed.select(F.col(name).alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    ids = keyed.select(F.col(name).alias("key"), known_id().alias("id")).distinct()
+    kept = found.join(ids, "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("least")).select(F.col("least.key").alias(name))
+    return keyed.join(kept, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
