@@ -194,6 +194,31 @@ def test_fuzzy_matches_beyond_one_block(spark):
     assert [(r.left_name, r.right_name, round(r.ratio)) for r in got] == [("Catherine", "Katherine", 89)]
 
 
+def test_every_prompt_and_biography_is_asked(spark, sf_dir):
+    from vitaframe.plans.relational import QUERIES
+
+    texts = spark.createDataFrame([(1, "a"), (2, None)], "entity_id long, text string")
+    prompts = spark.range(70).selectExpr("CAST(id AS string) AS style", "'p' AS prompt")
+    assert extract.ask(texts, prompts, lambda: lambda prompt, text: "{}").count() == 140
+    assert QUERIES["k39_stand_in_model"](spark, sf_dir).count() == 2 * spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+
+
+def test_fuzzy_fallback_joins_all_truth_rows(spark, sf_dir):
+    from collections import Counter
+
+    from vitaframe.plans.inputs import predictions, truth
+    from vitaframe.plans.relational import QUERIES
+
+    rows = {r.entity_id: r.full_name for r in predictions(spark, sf_dir).where("method = 'direct' and entity_id % 2 = 0").collect()}
+    names, expected = Counter(x for x in rows.values() if x), Counter()
+    for r in truth(spark, sf_dir).collect():
+        if r.entity_id in rows:
+            expected[r.full_name] += 1
+        elif r.full_name and (best := udfs.best_token_sorts([r.full_name], list(names), 85.0)):
+            expected[r.full_name] += names[best[0][1]]
+    assert {r.gt_full_name: r["count"] for r in QUERIES["c07_fuzzy_fallback"](spark, sf_dir).collect()} == expected
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="ab c", max_size=9), max_size=5), st.lists(st.text(alphabet="ab c", max_size=9), max_size=5), st.sampled_from([0.0, 60.0, 85.0]))
 def test_best_token_sorts_against_all_pairs(lefts, rights, least):

@@ -261,5 +261,5 @@ def ask(frame: DataFrame, prompts: DataFrame, model: Callable[[], ProfileModel],
             yield pd.DataFrame(rows, columns=["entity_id", "style", "answer", "extraction_error"])
 
     kind = frame.schema["entity_id"].dataType.simpleString()
-    tasks = frame.select("entity_id", "text").crossJoin(F.broadcast(prompts.limit(64)))  # prompts are a handful
+    tasks = frame.select("entity_id", "text").crossJoin(prompts)
     return tasks.repartition(slots).mapInPandas(run, f"entity_id {kind}, style string, answer string, extraction_error string")

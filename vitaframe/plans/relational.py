@@ -121,8 +121,7 @@ def _(spark, sf_dir):
 @query("c07_fuzzy_fallback")
 def _(spark, sf_dir):
     p = predictions(spark, sf_dir).where("method = 'direct' and entity_id % 2 = 0")
-    gt = truth(spark, sf_dir).where("entity_id % 50 < 2")
-    return evaluate.join_truth_fuzzy(p, gt).groupBy("method", "gt_full_name").count()
+    return evaluate.join_truth_fuzzy(p, truth(spark, sf_dir)).groupBy("method", "gt_full_name").count()
 
 
 @query("c09_fuzzy_lookup")
@@ -383,8 +382,7 @@ def _(spark, sf_dir):
 @query("k39_stand_in_model")
 def _(spark, sf_dir):
     prompts = spark.createDataFrame([("direct", "Extract: {text}"), ("icl", "Extract")], "style string, prompt string")
-    texts = biographies(spark, sf_dir).where("entity_id % 100 = 0")
-    return extract.ask(texts, prompts, lambda: lambda prompt, text: '{"n": %d}' % len(text))
+    return extract.ask(biographies(spark, sf_dir), prompts, lambda: lambda prompt, text: '{"n": %d}' % len(text))
 
 
 @query("k19_stand_in_recognizer")
