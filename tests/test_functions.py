@@ -194,6 +194,23 @@ def test_fuzzy_matches_beyond_one_block(spark):
     assert [(r.left_name, r.right_name, round(r.ratio)) for r in got] == [("Catherine", "Katherine", 89)]
 
 
+def test_whole_queries_read_long_texts(spark, tmp_path):
+    import re
+
+    from vitaframe.plans.registry import QUERIES
+
+    texts = {1: "Ann met Acme Bob", 2: "word " * 1000 + "Zed Omaha Ohio " + "x" * 9000}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {n: {r.doc_id: r for r in QUERIES[f"{n}_whole"](spark, str(tmp_path)).collect()} for n in ("l01_injected", "k19_entity_fields", "k23_entity_buckets", "k26_entities_by_label")}
+    for i, t in texts.items():
+        by = lambda k: [w for w in re.findall("[A-Z][a-z]+", t) if len(w) % 3 == k]  # noqa: B023, E731
+        half = len(t) // 2
+        assert got["l01_injected"][i][1:] == (f"X\n\n{t}", f"{t[:half]}\n\nX\n\n{t[half:]}", f"{t}\n\nX")
+        assert got["k19_entity_fields"][i].person == next(iter(by(1)), None)
+        assert got["k23_entity_buckets"][i].persons == "|".join(sorted(set(by(1)))[:5])
+        assert got["k26_entities_by_label"][i].orgs == "|".join(sorted(set(by(0))))
+
+
 def test_every_prompt_and_biography_is_asked(spark, sf_dir):
     from vitaframe.plans.relational import QUERIES
 

@@ -270,6 +270,11 @@ def _(spark, sf_dir):
     return _entities(spark, sf_dir).select("doc_id", F.array_join(F.slice(extract.of_label(F.col("entities"), "PERSON"), 1, 5), "|").alias("persons"))
 
 
+@query("k23_entity_buckets_whole")
+def _(spark, sf_dir):
+    return _entities(spark, sf_dir, True).select("doc_id", F.array_join(F.slice(extract.of_label(F.col("entities"), "PERSON"), 1, 5), "|").alias("persons"))
+
+
 @query("k25_religion_of_entities", "SELECT entity_id, CASE WHEN entity_id % 2 = 0 THEN 'christian' ELSE CASE entity_id % 7 WHEN 0 THEN 'christian' WHEN 1 THEN 'jewish' WHEN 2 THEN 'orthodox' END END AS religion FROM bio", bio=BIOGRAPHIES)
 def _(spark, sf_dir):
     name = F.when(F.col("entity_id") % 2 == 0, "First Baptist Church").otherwise("Oak University")
