@@ -73,8 +73,8 @@ def band_keys(signed: np.ndarray) -> np.ndarray:
     return key.view("i8")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set1, set2, bands) per row; doc_id with null replaced."""
+def features(docs: DataFrame, order: str) -> DataFrame:
+    """(doc_id, n_shingles, set1, set2, bands, order) per row; doc_id and the order column with null replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, (place, rank) = Rolling(), permutations()
@@ -86,9 +86,9 @@ def features(docs: DataFrame) -> DataFrame:
                 one.append(int(hashes.sum().view("i8")))
                 two.append(int(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().view("i8")))
                 bands.append(band_keys(signature(hashes, place, rank)).tolist() if len(hashes) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in ((n, pa.int64()), (one, pa.int64()), (two, pa.int64()), (bands, pa.list_(pa.int64()))))], ["doc_id", "n_shingles", "set1", "set2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in ((n, pa.int64()), (one, pa.int64()), (two, pa.int64()), (bands, pa.list_(pa.int64())))), batch.column("order")], ["doc_id", "n_shingles", "set1", "set2", "bands", "order"])
 
-    return arrow_map(docs.select(known_id().alias("doc_id"), "text"), run, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>")
+    return arrow_map(docs.select(known_id().alias("doc_id"), "text", known_id(order).alias("order")), run, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, order long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -190,19 +190,19 @@ def prefix_pairs(rest: DataFrame) -> DataFrame:
     return mine.join(theirs, F.col("x.shingle") == F.col("y.shingle")).where(similar).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """features() rows with `node` (the smallest doc_id with the same set), and (node, component) of linked nodes."""
+def link(docs: DataFrame, order: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """features() rows with `node` (the smallest doc_id with the same set), and (node, component) of linked nodes. order: its smallest leads a band."""
     spark = docs.sparkSession
     prepare(spark)
-    rows = features(docs).checkpoint()
+    rows = features(docs, order).checkpoint()
     equal = ["set1", "set2", "n_shingles"]
     full = rows.where("n_shingles > 0")
-    classes = full.groupBy(equal).agg(F.min("doc_id").alias("node"))
-    heads = full.join(classes, equal).where("doc_id = node").select("node", "n_shingles", "bands").dropDuplicates(["node", "n_shingles"])
-    buckets = heads.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band", F.col("least").alias("lead"))
+    classes = full.groupBy(equal).agg(F.min("doc_id").alias("node"), F.min("order").alias("first"))
+    heads = full.join(classes, equal).where("doc_id = node").select("node", "first", "n_shingles", "bands").dropDuplicates(["node", "n_shingles"])
+    buckets = heads.select("node", "first", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    shared = buckets.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.min(F.struct("first", "node")).alias("lead")).where("least < most").select("band", F.col("lead.node").alias("lead"))
     members = buckets.join(shared, "band").checkpoint()
-    pairs = members.where("node > lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct().checkpoint()
+    pairs = members.where("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct().checkpoint()
     wanted = members.select("node").distinct()
     texts = docs.select(known_id().alias("node"), "text").join(wanted, "node", "left_semi").checkpoint()
     links = confirmed(pairs, texts).checkpoint()
@@ -216,9 +216,9 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named.select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node")), labels
 
 
-def resolve(docs: DataFrame) -> DataFrame:
+def resolve(docs: DataFrame, order: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id), doc_id with null replaced."""
-    rows, labels = link(docs)
+    rows, labels = link(docs, order)
     return rows.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
 
 
@@ -234,7 +234,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     prepare(spark)
     name = free_name(docs, "nd_key")
     keyed = docs.withColumn(name, F.xxhash64("doc_id", "text"))
-    found = resolve(keyed.select(F.col(name).alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    found = resolve(keyed.select(F.col(name).alias("doc_id"), "text", known_id().alias("order")), "order").select(F.col("doc_id").alias("key"), "component_id").distinct()
     ids = keyed.select(F.col(name).alias("key"), known_id().alias("id")).distinct()
     kept = found.join(ids, "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("least")).select(F.col("least.key").alias(name))
     return keyed.join(kept, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
