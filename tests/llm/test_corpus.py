@@ -438,30 +438,6 @@ def test_language_model(spark, docs, rows, empty):
     assert hpylm.score(empty).count() == 0
 
 
-def test_language_model_sums_to_one():
-    rng = np.random.default_rng(0)
-    keys, count = np.unique(rng.zipf(1.5, 5000) % 200 * hpylm.LEAVES + rng.integers(0, 8, 5000), return_counts=True)
-    dishes = hpylm.Dishes(keys // hpylm.LEAVES, keys % hpylm.LEAVES, count, 201)  # one word more, never seen
-    history = []
-    for nth in range(4):
-        g = hpylm.with_discounts(dishes.totals(), history[0]["discounts"] if history else None)
-        known = dishes.total > 0
-        for leaf in (0, 3, 200):
-            p = dishes.probability(g, np.arange(201), np.full(201, leaf))
-            assert p[known].sum() + p[200] == pytest.approx(1)
-        history.append(g)
-        dishes.sweep(g, [1, nth])
-        assert (dishes.tables[2] <= dishes.count).all() and (dishes.tables[2] >= 1).all()
-        assert (dishes.tables[0] <= dishes.root_customers).all()
-
-
-def test_seating_follows_the_restaurant_process():
-    rng = np.random.default_rng(1)
-    n = np.full(4000, 30)
-    tables = hpylm.seat(n, np.full(4000, 2.0), 0.0, rng)
-    assert tables.mean() == pytest.approx(1 + sum(2 / (2 + i) for i in range(1, 30)), rel=0.05)
-
-
 # Pipeline
 
 
