@@ -2,18 +2,21 @@
 
 Vectors are dealt to shards by a hash of their row. A shard's tree splits at the median of the widest
 dimension and keeps tight boxes. For a query, boxes are visited best first by the largest inner product
-that a point of the box could have, until that cannot beat the k-th score so far; the k-th scores go on
-from shard to shard within a task. Tasks' best k then meet per query.
+that a point of the box could have, until that cannot beat the k-th score so far. Queries are a table of
+blocks. Each block is first searched in one shard; the k-th scores found there go with it to all other
+shards, which return only rows that reach them. The best k of a query then meet. A task holds one tree and
+one block; queries never pass the driver.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part;
 queries meet vectors of their own dimension only; equal scores rank by smaller vec_id; a query finds
 every row with another vec_id; rows with a null vec_id take no part; repeated query rows count once;
-scores beyond 64 bits saturate, and then tie. Queries are broadcast in blocks of QUERY_BLOCK.
+scores beyond 64 bits saturate, and then tie.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +29,7 @@ from vitaframe.llm.common import arrow_map, prepare
 SCALE = 1024
 LEAF = 256
 SHARD_ROWS = 16_384
+SHARD_BYTES = 32 << 20
 QUERY_BLOCK = 4096
 LIMIT = 2**63
 
@@ -71,13 +75,13 @@ class Tree:
         """Within 64 bits; only unbounded integers can leave those."""
         return np.array([max(-LIMIT, min(LIMIT - 1, x)) for x in scores], object) if scores.dtype == object else scores
 
-    def search(self, query_id: int, query: np.ndarray, best: list, k: int) -> None:
-        """best: heap of (score, -vec_id), at most k; it may hold results of other trees."""
+    def search(self, query_id: int, query: np.ndarray, best: list, k: int, least: int | None = None) -> None:
+        """best: heap of (score, -vec_id), at most k. least: what a score must reach to be of use."""
         bound = self._limited(np.maximum(query * self.low, query * self.high).sum(1))
         heap = [(-bound[0], 0)]
         while heap:
             top, node = heapq.heappop(heap)
-            if len(best) == k and -top < best[0][0]:
+            if len(best) == k and -top < best[0][0] or least is not None and -top < least:
                 return
             left, right = self.child[node]
             if left >= 0:
@@ -87,6 +91,8 @@ class Tree:
             a, b = self.rows[node]
             scores = self._limited(self.points[a:b] @ query)
             fit = self.ids[a:b] != query_id
+            if least is not None:
+                fit &= scores >= least
             near = np.flatnonzero(fit if len(best) < k else fit & (scores >= best[0][0]))
             if len(near) > k:
                 near = near[np.lexsort((self.ids[a:b][near], -scores[near]))[:k]]
@@ -98,7 +104,7 @@ class Tree:
                     heapq.heapreplace(best, found)
 
 
-def _matrix(points: list[list[float]], largest: float) -> np.ndarray:
+def _matrix(points: list, largest: float) -> np.ndarray:
     """The cheapest exact form: doubles below 2^53, else 64-bit or unbounded integers."""
     if largest < 2.0**52:
         return np.array(points, "f8")
@@ -106,64 +112,82 @@ def _matrix(points: list[list[float]], largest: float) -> np.ndarray:
     return np.array(exact, "i8" if largest < 2.0**62 else object)
 
 
+def _vectors(table: pa.Table) -> tuple[list[int], list[np.ndarray]]:
+    column = table.column("v").combine_chunks()
+    flat, offsets = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
+    return table.column("vec_id").to_pylist(), [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def forest(vectors: DataFrame, shards: int, largest: float) -> DataFrame:
+    """(shard, dim, tree): a KD-tree for each shard and dimension."""
+
+    def build(key, table):
+        ids, points = _vectors(table)
+        tree = Tree(np.array(ids), _matrix(points, largest))
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([key[1].as_py()], pa.int32()), "tree": pa.array([pickle.dumps(vars(tree))], pa.binary())})
+
+    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
+    return dealt.groupBy("shard", "dim").applyInArrow(build, "shard long, dim int, tree binary").checkpoint()
+
+
+def query_blocks(queries: DataFrame) -> DataFrame:
+    """(block, dim, asked): QUERY_BLOCK queries or so in a row."""
+
+    def build(key, table):
+        ids, points = _vectors(table.sort_by("vec_id"))
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([key[1].as_py()], pa.int32()), "asked": pa.array([pickle.dumps((ids, points))], pa.binary())})
+
+    queries = queries.distinct()
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
+    return dealt.groupBy("block", "dim").applyInArrow(build, "block long, dim int, asked binary").checkpoint()
+
+
+def searched(cells: DataFrame, largest: float, k: int) -> DataFrame:
+    """Each cell's best rows. cells: block, dim, asked, least (k-th scores known so far, or null), tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, tree = None, None
+        for batch in batches:
+            for n in range(batch.num_rows):
+                data = batch.column("tree")[n].as_py()
+                if data != last:
+                    last, tree = data, Tree.__new__(Tree)
+                    vars(tree).update(pickle.loads(data))
+                ids, points = pickle.loads(batch.column("asked")[n].as_py())
+                least = batch.column("least")[n].as_py()
+                asked = _matrix(points, largest)
+                rows = []
+                for nth, q in enumerate(ids):
+                    best: list = []
+                    tree.search(q, asked[nth], best, k, least[nth] if least else None)
+                    rows += [(q, nth, -v, s) for s, v in best]
+                block, dim = batch.column("block")[n].as_py(), batch.column("dim")[n].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([dim] * len(rows), pa.int32()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(4))], ["block", "dim", "query_id", "nth", "vec_id", "score"])
+
+    return arrow_map(cells.select("block", "dim", "asked", "least", "tree"), run, "block long, dim int, query_id long, nth long, vec_id long, score long")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score) of integers() frames."""
     spark = vectors.sparkSession
     prepare(spark)
-    vectors = vectors.withColumn("dim", F.size("v")).checkpoint()
+    vectors, queries = (x.withColumn("dim", F.size("v")) for x in (vectors, queries))
     facts = vectors.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("most"), F.max("dim").alias("dim")).first()
     largest = (facts.most or 0.0) ** 2 * (facts.dim or 1)
-    shards = max(1, -(-facts.n // SHARD_ROWS))
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(shards, spark.sparkContext.defaultParallelism)))).repartition("shard")
-
-    def blocks() -> Iterator[list[tuple[int, list[float]]]]:
-        block = []
-        for r in queries.distinct().toLocalIterator():
-            block.append((r.vec_id, list(r.v)))
-            if len(block) == QUERY_BLOCK:
-                yield block
-                block = []
-        yield block
-
-    def searched(block: list[tuple[int, list[float]]]) -> DataFrame:
-        held = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asked: dict[int, list] = {}
-            for nth, (q, v) in enumerate(held.value):
-                asked.setdefault(len(v), []).append((nth, q, _matrix([v], largest)[0]))
-            best: list[list] = [[] for _ in held.value]
-
-            def search(ids: list[int], points: list) -> None:
-                for dim in {len(p) for p in points}:
-                    if dim in asked:
-                        at = [i for i, p in enumerate(points) if len(p) == dim]
-                        tree = Tree(np.array([ids[i] for i in at]), _matrix([points[i] for i in at], largest))
-                        for nth, q, v in asked[dim]:
-                            tree.search(q, v, best[nth], k)
-
-            ids: list[int] = []
-            points: list = []
-            for batch in batches:  # a tree for each SHARD_ROWS rows at most
-                ids += batch.column("vec_id").to_pylist()
-                column = batch.column("v")
-                flat, offsets = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
-                points += [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                if len(ids) >= SHARD_ROWS:
-                    search(ids, points)
-                    ids, points = [], []
-            if ids:
-                search(ids, points)
-            rows = [(q, nth, -v, s) for nth, (q, _) in enumerate(held.value) for s, v in best[nth]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["query_id", "nth", "vec_id", "score"])
-
-        return arrow_map(dealt.select("vec_id", "v"), run, "query_id long, nth long, vec_id long, score long")
-
-    out = None
-    for n, block in enumerate(blocks()):
-        found = searched(block).withColumn("block", F.lit(n))
-        out = found if out is None else out.unionByName(found)
-    order = Window.partitionBy("block", "nth").orderBy(F.desc("score"), "vec_id")
+    rows = max(LEAF, min(SHARD_ROWS, SHARD_BYTES // (8 * max(facts.dim or 1, 1))))
+    shards = max(1, -(-facts.n // rows))
+    trees, blocks = forest(vectors, shards, largest), query_blocks(queries)
+    # A first shard for each block gives every query a k-th score, which all other shards have to beat.
+    home = F.pmod("block", F.lit(shards))
+    seeds = searched(blocks.select("*", home.alias("shard"), F.lit(None).cast("array<long>").alias("least")).join(trees, ["shard", "dim"]), largest, k).checkpoint()
+    order = Window.partitionBy("block", "dim", "nth").orderBy(F.desc("score"), "vec_id")
+    kth = seeds.groupBy("block", "dim", "nth").agg(F.when(F.count("*") == k, F.min("score")).otherwise(F.lit(-LIMIT)).alias("least"))
+    sizes = F.array_sort(F.collect_list(F.struct("nth", "least")))  # a block's queries
+    bounds = kth.groupBy("block", "dim").agg(F.transform(sizes, lambda x: x["least"]).alias("least"), F.count("*").alias("found"), (F.max("nth") + 1).alias("of"))
+    bounds = bounds.select("block", "dim", F.when(F.col("found") == F.col("of"), F.col("least")).alias("least"))
+    others = blocks.join(bounds, ["block", "dim"], "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).where(F.col("shard") != home)
+    out = seeds.unionByName(searched(others.join(trees, ["shard", "dim"]), largest, k))
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
