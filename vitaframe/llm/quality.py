@@ -6,10 +6,12 @@ selection follow. x holds, for the whole text, the share of words in each hashed
 itself, of its shape (letter case, digits, the punctuation around it) and of whether it repeats the word
 before it.
 
-Fitting takes at most `sample` rows per grade, those with the smallest digests. Defined results: empty and null
-texts have x = 0, so they get the thresholds' own probabilities; null grades and documents with
-disagreeing grades take no part in fitting; grades of one kind only, or none, give the constant grade
-(0 for none) and keep everything; extra columns pass through `select_quality`.
+Grades may be any numbers, whole or not, up to MAX_GRADES of them (more raise an error). Fitting takes at most `sample` rows per
+grade, those with the smallest digests, and `bound` rows in all: with more grades than bound / sample, each
+gives as many rows as that leaves it (one at least). Defined results: empty and null texts have x = 0, so they get the
+thresholds' own probabilities; null grades and documents with disagreeing grades take no part in fitting;
+documents that repeat are fitted once a row; grades of one kind only, or none, give the constant grade (0
+for none) and keep everything; extra columns pass through `select_quality`.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitaframe.llm.common import arrow_map, byte_rows, plain_words, prepare, quoted
@@ -30,9 +32,12 @@ BUCKETS = 1 << 16
 SHAPES = 1 << 10
 SCALE = 20.0
 SAMPLE = 4000
+#: Rows to fit on, over all grades.
+BOUND = 64_000
+MAX_GRADES = 1000
 STEPS = 120
 PENALTY = 1e-4
-#: Documents below this probability of the best-separated upper grades are rejected.
+#: Documents with less than this probability of a grade from the middle threshold up are rejected.
 KEEP = 0.5
 _CLASSES = bytes(65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 97 if 97 <= b <= 122 or b >= 128 else b for b in range(256))
 _RUNS = re.compile(rb"(.)\1+", re.S)
@@ -71,7 +76,7 @@ class Ordinal:
 
     weights: np.ndarray
     limits: np.ndarray
-    grades: list[int]
+    grades: list[float]
 
     def tails(self, codes: list[np.ndarray]) -> np.ndarray:
         """P(grade >= grades[k]) for k = 1 .. K, shape (n, K)."""
@@ -84,7 +89,7 @@ def fit_ordinal(codes: list[np.ndarray], grades: np.ndarray, steps: int = STEPS)
     values = sorted(set(grades.tolist()))
     size = BUCKETS + SHAPES + 2
     if len(values) < 2:
-        return Ordinal(np.zeros(size), np.zeros(0), [int(v) for v in values] or [0])
+        return Ordinal(np.zeros(size), np.zeros(0), values or [0])
     rank = np.searchsorted(values, grades)
     k = len(values) - 1
     weight = 1.0 / np.bincount(rank)[rank] / (k + 1)
@@ -118,19 +123,20 @@ def fit_ordinal(codes: list[np.ndarray], grades: np.ndarray, steps: int = STEPS)
         m[1] += 0.01 * (gradients[2] ** 2 - m[1])
         first -= 0.05 * float((m[0] / (1 - 0.9**tick) / (np.sqrt(m[1] / (1 - 0.99**tick)) + 1e-8))[0])
     limits = first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-    return Ordinal(w, limits, [int(v) for v in values])
+    return Ordinal(w, limits, values)
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", sample: int = SAMPLE) -> Ordinal:
+def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", sample: int = SAMPLE, bound: int = BOUND) -> Ordinal:
     prepare(docs.sparkSession)
-    known = labels.where(F.col(grade).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(grade).alias("grade"), F.max(grade).alias("most")).where("grade = most").select("doc_id", F.col("grade").cast("int").alias("grade"))
-    chosen = None
-    for value in [r[0] for r in known.select("grade").distinct().orderBy("grade").limit(64).toLocalIterator()]:  # grades are few
-        part = known.where(F.col("grade") == value).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
-        return fit_ordinal([], np.zeros(0, "i8"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows a grade
+    known = labels.where(F.col(grade).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(grade).alias("grade"), F.max(grade).alias("most")).where("grade = most").select("doc_id", F.col("grade").cast("double").alias("grade"))
+    known = known.checkpoint()
+    kinds = known.select("grade").distinct().count()
+    if kinds > MAX_GRADES:
+        raise ValueError(f"{kinds} grades; an ordinal scale may have {MAX_GRADES}")
+    each = min(sample, max(1, bound // max(kinds, 1)))
+    nearest = Window.partitionBy("grade").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
+    chosen = known.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= each).drop("nth")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `bound` rows
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder()
@@ -138,8 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", sample: int
             codes = [coder(t).tobytes() for t in byte_rows(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(codes, pa.binary())], ["grade", "codes"])
 
-    got = sorted((r.grade, bytes(r.codes)) for r in arrow_map(rows, encode, "grade int, codes binary").toLocalIterator())
-    return fit_ordinal([np.frombuffer(c, "i4") for _, c in got], np.array([g for g, _ in got], "i8"))
+    got = sorted((r.grade, bytes(r.codes)) for r in arrow_map(rows, encode, "grade double, codes binary").toLocalIterator())
+    return fit_ordinal([np.frombuffer(c, "i4") for _, c in got], np.array([g for g, _ in got], "f8"))
 
 
 def _scores(model: Ordinal, coder: Coder, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
