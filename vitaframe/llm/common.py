@@ -6,7 +6,7 @@ ASCII classes that the operators name can be decided byte by byte.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -23,17 +23,26 @@ ALNUM = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65
 #: Rows in an Arrow batch, so that a batch of long texts fits a Python worker.
 BATCH_ROWS = 500
 MAX_ID = 2**63 - 1
+#: Stands for null among ids that are ordered as strings.
+LAST_ID = "\U0010ffff" * 8
+HOT_PARTS = 2048
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds Arrow batches by rows and bytes, and sets a checkpoint folder where the cluster names none."""
+    """Bounds Arrow batches by rows and bytes (for the session, as plans run later), and sets a checkpoint folder.
+
+    That is the one which the cluster names in spark.checkpoint.dir. Where it names none, a local session
+    takes a temporary folder, any other one a folder in the warehouse, which all machines see.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20)
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="vitaframe-checkpoint-"))
+        if not named and re.match(r"local(\[|$)", spark.sparkContext.master):
+            named = tempfile.mkdtemp(prefix="vitaframe-checkpoint-")
+        spark.sparkContext.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -51,9 +60,29 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def known_id(name: str = "doc_id") -> Column:
+def id_kind(frame: DataFrame, name: str = "doc_id") -> str:
+    """How ids are ordered: whole numbers as such, all others as strings."""
+    return "long" if frame.schema[name].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
+
+
+def known_id(frame: DataFrame, name: str = "doc_id") -> Column:
     """The id, with null as the largest one."""
-    return F.coalesce(F.col(name).cast("long"), F.lit(MAX_ID))
+    kind = id_kind(frame, name)
+    return F.coalesce(F.col(name).cast(kind), F.lit(MAX_ID if kind == "long" else LAST_ID))
+
+
+def spread_join(many: DataFrame, few: DataFrame, on: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+    """many joined with few, in which each key stands once. counts: the keys and their rows in many, as `times`.
+
+    A key with more than 1 / HOT_PARTS of the rows is split into parts of about that size, and its row in few
+    repeated for each part. There are at most HOT_PARTS such keys, so their list is small enough to broadcast.
+    """
+    total = counts.agg(F.sum("times")).first()[0] or 0
+    hot = counts.where(F.col("times") * HOT_PARTS > total).select(*on, F.ceil(F.col("times") * HOT_PARTS / F.lit(max(total, 1))).cast("long").alias("hot_parts")).checkpoint()
+    parts = F.coalesce("hot_parts", F.lit(1).cast("long"))
+    many = many.join(F.broadcast(hot), on, "left").withColumn("hot_part", F.pmod(F.monotonically_increasing_id(), parts)).drop("hot_parts")
+    few = few.join(F.broadcast(hot), on, "left").withColumn("hot_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("hot_parts")
+    return many.join(few, [*on, "hot_part"], how).drop("hot_part")
 
 
 def plain_words(text: bytes) -> list[bytes]:
@@ -151,8 +180,3 @@ def replace_text(batch: pa.RecordBatch, texts: list[bytes | None], keep: list[bo
             column = pa.array([None if t is None else len(t.decode("utf-8", "replace")) for t in texts], pa.int64()).cast(field.type)
         columns.append(column)
     return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
-
-
-def tokenizer_folder() -> str | None:
-    """Where the public vocabulary files are; a parameter of the operators that need them."""
-    return os.environ.get("PUBLIC_TOKENIZERS_DIR")

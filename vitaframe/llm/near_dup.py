@@ -4,7 +4,8 @@ A document's set holds its distinct 5-word shingles. Two permutations of [0, 2^2
 signature coordinates: one places the shingles, the other, shifted by one place per coordinate, ranks
 them. Bands of the signature give candidates; a link is confirmed on the two full sets of words.
 
-Documents with equal sets form a class at once; only one of each class goes on. In a band's bucket each
+Documents with equal sets (told by their size and the sums of two independent 64-bit hashes of their
+shingles) form a class at once; only one of each class goes on. In a band's bucket each
 document is compared with the smallest id, not with all others. What then shares a bucket across components is settled exactly by prefix
 filtering: with shingles ordered from rare to frequent, two sets of Jaccard 0.85 share one of the first
 |set| - ceil(0.85 |set|) + 1, and enough follow it in both. Edited copies have shingles of their own
@@ -14,7 +15,8 @@ large-star and small-star steps on the links; nothing is collected to the driver
 
 Defined results: no words (or null text) gives an empty set, linked with nothing; under five words the
 whole sequence is the one shingle; rows that share a doc_id are one document; a null doc_id counts as
-the largest and stays null in component_id if nothing smaller is reached; extra columns take no part.
+the largest and stays null in component_id if nothing smaller is reached; ids that are not whole numbers
+are ordered as strings; extra columns take no part.
 keep_one() tells rows apart by a 64-bit hash of id and text instead, so that no text goes for a shared or missing id.
 """
 
@@ -25,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitaframe.llm.common import MAX_ID, Rolling, arrow_map, byte_rows, free_name, hash_words, known_id, lower_words, mix, prepare
+from vitaframe.llm.common import LAST_ID, MAX_ID, Rolling, arrow_map, byte_rows, free_name, hash_words, id_kind, known_id, lower_words, mix, prepare, spread_join
 
 SHINGLE = 5
 DOMAIN_BITS = 20
@@ -49,11 +51,17 @@ def permutations() -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_hashes(words: list[bytes], rolling: Rolling) -> np.ndarray:
     """The set, as sorted distinct 64-bit hashes."""
+    return shingles_twice(words, rolling, False)[0]
+
+
+def shingles_twice(words: list[bytes], rolling: Rolling, second: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The same, and an independent hash of each."""
     if not words:
-        return np.zeros(0, "u8")
+        return np.zeros(0, "u8"), np.zeros(0, "u8")
     size = min(SHINGLE, len(words))
-    prefix = rolling.prefix(hash_words(words), 0)
-    return np.unique(mix(rolling.runs(prefix, np.arange(len(words) - size + 1), size, 0) + np.uint64(size)))
+    hashed, start = hash_words(words), np.arange(len(words) - size + 1)
+    first, at = np.unique(mix(rolling.runs(rolling.prefix(hashed, 0), start, size, 0) + np.uint64(size)), return_index=True)
+    return first, mix(rolling.runs(rolling.prefix(hashed, 1), at, size, 1) ^ np.uint64(size)) if second else at
 
 
 def signature(hashes: np.ndarray, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -81,19 +89,23 @@ def features(docs: DataFrame, order: str) -> DataFrame:
         for batch in batches:
             n, one, two, bands = [], [], [], []
             for text in byte_rows(batch.column("text")):
-                hashes = shingle_hashes(lower_words(text), rolling)
+                hashes, others = shingles_twice(lower_words(text), rolling)
                 n.append(len(hashes))
                 one.append(int(hashes.sum().view("i8")))
-                two.append(int(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().view("i8")))
+                two.append(int(others.sum().view("i8")))
                 bands.append(band_keys(signature(hashes, place, rank)).tolist() if len(hashes) else [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in ((n, pa.int64()), (one, pa.int64()), (two, pa.int64()), (bands, pa.list_(pa.int64())))), batch.column("order")], ["doc_id", "n_shingles", "set1", "set2", "bands", "order"])
 
-    return arrow_map(docs.select(known_id().alias("doc_id"), "text", known_id(order).alias("order")), run, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, order long")
+    return arrow_map(docs.select(known_id(docs).alias("doc_id"), "text", known_id(docs, order).alias("order")), run, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, order long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of node ids whose sets are similar enough. texts: node, text."""
-    joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    # Members bring their texts first; a leader's text is then repeated for each part of its members.
+    members = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    counts = pairs.groupBy("a").agg(F.count("*").alias("times")).checkpoint()
+    leaders = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(counts.select("a"), "a", "left_semi")
+    joined = spread_join(members, leaders, ["a"], counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, frozenset()
@@ -191,20 +203,21 @@ def prefix_pairs(rest: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, order: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """features() rows with `node` (the smallest doc_id with the same set), and (node, component) of linked nodes. order: its smallest leads a band."""
+    """features() rows, and for each class of equal sets its component_id and number of rows. order: its smallest leads a band."""
     spark = docs.sparkSession
     prepare(spark)
     rows = features(docs, order).checkpoint()
     equal = ["set1", "set2", "n_shingles"]
     full = rows.where("n_shingles > 0")
-    classes = full.groupBy(equal).agg(F.min("doc_id").alias("node"), F.min("order").alias("first"))
-    heads = full.join(classes, equal).where("doc_id = node").select("node", "first", "n_shingles", "bands").dropDuplicates(["node", "n_shingles"])
+    # Equal sets have equal bands, so these can be part of the key, and copies are combined before the shuffle.
+    classes = full.groupBy(*equal, "bands").agg(F.min("doc_id").alias("node"), F.min("order").alias("first"), F.count("*").alias("times")).checkpoint()
+    heads = classes.select("node", "first", "n_shingles", "bands").dropDuplicates(["node", "n_shingles"])
     buckets = heads.select("node", "first", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.min(F.struct("first", "node")).alias("lead")).where("least < most").select("band", F.col("lead.node").alias("lead"))
     members = buckets.join(shared, "band").checkpoint()
     pairs = members.where("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct().checkpoint()
     wanted = members.select("node").distinct()
-    texts = docs.select(known_id().alias("node"), "text").join(wanted, "node", "left_semi").checkpoint()
+    texts = docs.select(known_id(docs).alias("node"), "text").join(wanted, "node", "left_semi").checkpoint()
     links = confirmed(pairs, texts).checkpoint()
     labels = components(links).checkpoint()
     placed = members.join(labels, "node", "left").select("node", "band", F.coalesce("component", "node").alias("component"))
@@ -212,29 +225,46 @@ def link(docs: DataFrame, order: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     found = confirmed(prefix_pairs(rest).join(pairs, ["a", "b"], "left_anti"), texts).checkpoint()
     if not found.isEmpty():
         labels = components(links.unionByName(found)).checkpoint()
-    named = rows.join(classes, equal, "left")
-    return named.select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node")), labels
+    named = classes.join(labels, "node", "left").select(*equal, "times", F.coalesce("component", "node").alias("component_id")).checkpoint()
+    return rows.drop("bands", "order"), named
 
 
 def resolve(docs: DataFrame, order: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id), doc_id with null replaced."""
-    rows, labels = link(docs, order)
-    return rows.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    rows, classes = link(docs, order)
+    full = spread_join(rows.where("n_shingles > 0"), classes.drop("times"), ["set1", "set2", "n_shingles"], classes.drop("component_id"))
+    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return full.select("doc_id", "n_shingles", "component_id").unionByName(empty)
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id and kept."""
+    prepare(docs.sparkSession)
+    if id_kind(docs) == "string":  # components of hashed ids, each then named by its smallest id
+        found = resolve(docs.select(F.xxhash64("doc_id").alias("doc_id"), "text")).checkpoint()
+        ids = docs.select(F.xxhash64("doc_id").alias("doc_id"), known_id(docs).alias("id")).groupBy("doc_id").agg(F.min("id").alias("id"), F.count("*").alias("times")).checkpoint()
+        named = spread_join(found, ids.drop("times"), ["doc_id"], ids.drop("id")).checkpoint()
+        least = named.groupBy("component_id").agg(F.min("id").alias("least"), F.count("*").alias("times")).checkpoint()
+        out = spread_join(named, least.drop("times"), ["component_id"], least.drop("least"))
+        known = lambda c: F.when(F.col(c) < LAST_ID, F.col(c))
+        return out.select(known("id").alias("doc_id"), "n_shingles", known("least").alias("component_id"), (F.col("id") == F.col("least")).alias("kept"))
     out = resolve(docs)
     known = lambda c: F.when(F.col(c) < MAX_ID, F.col(c))
     return out.select(known("doc_id").alias("doc_id"), "n_shingles", known("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def _order(docs: DataFrame) -> Column:
+    """What the smallest of leads a band: the id, where ids are numbers."""
+    return known_id(docs) if id_kind(docs) == "long" else F.xxhash64("doc_id")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The document with the smallest id of each component; rows are one document only if both id and text agree."""
     spark = docs.sparkSession
     prepare(spark)
     name = free_name(docs, "nd_key")
     keyed = docs.withColumn(name, F.xxhash64("doc_id", "text"))
-    found = resolve(keyed.select(F.col(name).alias("doc_id"), "text", known_id().alias("order")), "order").select(F.col("doc_id").alias("key"), "component_id").distinct()
-    ids = keyed.select(F.col(name).alias("key"), known_id().alias("id")).distinct()
+    found = resolve(keyed.select(F.col(name).alias("doc_id"), "text", _order(docs).alias("order")), "order").select(F.col("doc_id").alias("key"), "component_id").distinct()
+    ids = keyed.select(F.col(name).alias("key"), known_id(docs).alias("id")).distinct()
     kept = found.join(ids, "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("least")).select(F.col("least.key").alias(name))
     return keyed.join(kept, name, "left_semi").dropDuplicates([name]).select(*docs.columns)

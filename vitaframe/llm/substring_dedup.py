@@ -13,8 +13,8 @@ count-min sketch of anchors never underestimates a window's count.
 3. A word goes if a window over it starts in a document with a smaller doc_id.
 
 Defined results: null text has no words; texts of fewer than 50 words lose nothing; rows that share a
-doc_id do not remove each other's words; a null doc_id counts as larger than any other; extra columns
-pass through.
+doc_id do not remove each other's words; a null doc_id counts as larger than any other; ids that are not
+whole numbers are ordered as strings; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -27,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitaframe.llm.common import Rolling, arrow_map, byte_rows, free_name, hash_words, known_id, mix, plain_words, prepare, quoted, replace_text
+from vitaframe.llm.common import Rolling, arrow_map, byte_rows, free_name, hash_words, id_kind, known_id, mix, plain_words, prepare, quoted, replace_text, spread_join
 
 WINDOW = 50
 GRAM = 16
@@ -139,6 +139,9 @@ def sketch(docs: DataFrame, bits: int) -> np.ndarray:
 def repeated_runs(docs: DataFrame, many: Broadcast, bits: int) -> DataFrame:
     """Runs of windows whose anchor the sketch estimates to occur twice or more. docs: doc_id, key, text."""
 
+    kind = id_kind(docs)
+    id_type = pa.int64() if kind == "long" else pa.string()
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, table = Rolling(), many.value
         for rows, lots in chunks(batches, ["doc_id", "key"]):
@@ -156,7 +159,7 @@ def repeated_runs(docs: DataFrame, many: Broadcast, bits: int) -> DataFrame:
             column = lambda x: pa.array(x.view("i8"))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([rows[i][0] for i in own.tolist()], pa.int64()),
+                    pa.array([rows[i][0] for i in own.tolist()], id_type),
                     pa.array([rows[i][1] for i in own.tolist()], pa.int64()),
                     pa.array((start - got.first_word[own]).astype("i4")),
                     pa.array(length.astype("i4")),
@@ -168,7 +171,7 @@ def repeated_runs(docs: DataFrame, many: Broadcast, bits: int) -> DataFrame:
                 ["doc_id", "key", "start", "n", "anchor", "run1", "run2", "windows"],
             )
 
-    return arrow_map(docs, find, "doc_id long, key long, start int, n int, anchor long, run1 long, run2 long, windows binary")
+    return arrow_map(docs, find, f"doc_id {kind}, key long, start int, n int, anchor long, run1 long, run2 long, windows binary")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -183,30 +186,39 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     equal = ["anchor", "run1", "run2"]
     firsts = runs.groupBy(equal).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("times"))
     kinds = firsts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("times").alias("uses"))
-    firsts = firsts.join(kinds.where("uses > 1"), "anchor").select(*equal, "first_doc", "kinds")
-    judged = runs.join(firsts, equal).checkpoint()
+    firsts = firsts.join(kinds.where("uses > 1"), "anchor").select(*equal, "first_doc", "kinds", "times").checkpoint()
+    judged = spread_join(runs, firsts.drop("times"), equal, firsts.select(*equal, "times")).checkpoint()
     copies = judged.where("doc_id > first_doc").select("doc_id", "key", F.col("start").alias("first"), (F.col("start") + F.col("n") + F.lit(WINDOW - 1)).alias("past"))
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = np.array(batch.column("n").to_numpy(), "i8")
             place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            column = {c: np.repeat(batch.column(c).to_numpy(), size) for c in ("doc_id", "key", "start", "anchor")}
+            column = {c: np.repeat(batch.column(c).to_numpy(), size) for c in ("key", "start", "anchor")}
+            ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(size)), size)))
             windows = np.frombuffer(b"".join(batch.column("windows").to_pylist()), "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (column["doc_id"], column["key"], (column["start"] + place).astype("i4"), column["anchor"], windows)], ["doc_id", "key", "start", "anchor", "window"])
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x) for x in (column["key"], (column["start"] + place).astype("i4"), column["anchor"], windows))], ["doc_id", "key", "start", "anchor", "window"])
+
+    singles = arrow_map(judged.where("doc_id = first_doc and kinds > 1"), single, f"doc_id {id_kind(docs)}, key long, start int, anchor long, window long")
+    least = singles.groupBy("anchor", "window").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("times")).where("first_doc < last_doc").select("anchor", "window", "first_doc", "times").checkpoint()
+    later = spread_join(singles, least.drop("times"), ["anchor", "window"], least.drop("first_doc")).where("doc_id > first_doc").select("doc_id", "key", F.col("start").alias("first"), (F.col("start") + F.lit(WINDOW)).alias("past"))
+    return islands(copies.unionByName(later)).groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
+
 
-    singles = arrow_map(judged.where("doc_id = first_doc and kinds > 1"), single, "doc_id long, key long, start int, anchor long, window long")
-    least = singles.groupBy("anchor", "window").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("anchor", "window", "first_doc")
-    later = singles.join(least, ["anchor", "window"]).where("doc_id > first_doc").select("doc_id", "key", F.col("start").alias("first"), (F.col("start") + F.lit(WINDOW)).alias("past"))
-    both = copies.unionByName(later)
-    return both.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
+def islands(spans: DataFrame) -> DataFrame:
+    """The spans of each document, those that touch or overlap as one."""
+    document = Window.partitionBy("doc_id", "key").orderBy("first", "past")
+    before = F.max("past").over(document.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("new", (before.isNull() | (F.col("first") > before)).cast("int"))
+    marked = marked.withColumn("island", F.sum("new").over(document.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy("doc_id", "key", "island").agg(F.min("first").alias("first"), F.max("past").alias("past"))
 
 
 def with_spans(docs: DataFrame) -> tuple[DataFrame, str]:
     """The documents with the spans of their words that repeat an earlier document's, and that column's name."""
     prepare(docs.sparkSession)
     identity = free_name(docs, "sd_id"), free_name(docs, "sd_key")
-    named = docs.withColumns({identity[0]: known_id(), identity[1]: F.xxhash64("text")})
+    named = docs.withColumns({identity[0]: known_id(docs), identity[1]: F.xxhash64("text")})
     spans = repeated_spans(named.select(F.col(identity[0]).alias("doc_id"), F.col(identity[1]).alias("key"), "text").where("text is not null"))
     name = free_name(named, "sd_spans")
     spans = spans.select(F.col("doc_id").alias(identity[0]), F.col("key").alias(identity[1]), F.col("spans").alias(name))
