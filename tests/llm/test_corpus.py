@@ -206,6 +206,43 @@ def test_keep_one_of_rows_without_an_id_of_their_own(spark):
     assert sorted((r.doc_id or -1, r.text or "") for r in got) == sorted([(7, three), (8, one + " x"), (9, two), (9, four), (-1, "")])
 
 
+def test_string_ids(spark, docs, rows):
+    named = docs.select(F.format_string("id-%05d", "doc_id").alias("doc_id"), "text", "doc_id").toDF("doc_id", "text", "number")
+    named = named.withColumn("doc_id", F.when(F.col("number").isNotNull(), F.col("doc_id"))).drop("number")
+    number = lambda x: -1 if x is None else int(x[3:])
+    got = sorted((number(r.doc_id), r.n_shingles, number(r.component_id)) for r in near_dup.report(named).collect())
+    assert got == near_groups([r[:2] for r in rows])
+    assert sorted(number(r.doc_id) for r in near_dup.keep_one(named).collect()) == [-1, 1, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14]
+    order = lambda x: (number(x[0]) if isinstance(x[0], str) else x[0] or -1, *x[1:])
+    cut = sorted((order(tuple(r)) for r in substring_dedup.report(named).collect()))
+    assert [x[1:] for x in cut] == [x[1:] for x in sorted(order(x) for x in kept_words([r[:2] for r in rows]))]
+
+
+def test_reports_on_empty_tables(empty):
+    assert near_dup.report(empty).count() == 0
+    assert substring_dedup.report(empty).count() == 0
+    assert sharding.report(empty).count() == 0
+    assert packing.pack(empty).count() == 0
+
+
+def test_spans_are_joined(spark):
+    spans = spark.createDataFrame([(1, 2, 0, 50), (1, 2, 50, 100), (1, 2, 20, 30), (1, 2, 101, 120), (1, 3, 5, 6)], "doc_id long, key long, first int, past int")
+    got = substring_dedup.islands(spans).select("doc_id", "key", "first", "past").collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 0, 100), (1, 2, 101, 120), (1, 3, 5, 6)]
+
+
+def test_spread_join_splits_hot_keys(spark, monkeypatch):
+    import vitaframe.llm.common as common
+
+    monkeypatch.setattr(common, "HOT_PARTS", 4)
+    many = spark.createDataFrame([(1 if k % 10 else k, k) for k in range(200)], "key long, value long")
+    counts = many.groupBy("key").agg(F.count("*").alias("times"))
+    few = counts.select("key", (F.col("key") * 10).alias("ten"))
+    common.prepare(spark)
+    got = common.spread_join(many, few, ["key"], counts).collect()
+    assert sorted((r.key, r.value, r.ten) for r in got) == sorted((1 if k % 10 else k, k, 10 if k % 10 else 10 * k) for k in range(200))
+
+
 # Packing
 
 
@@ -309,11 +346,15 @@ def test_differencing_balances():
 # Top-k
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize(("shard", "block"), [(topk.SHARD_ROWS, topk.QUERY_BLOCK), (40, 2)])
+def test_top_k(spark, shard, block, monkeypatch):
     rng = np.random.default_rng(0)
     rows = [(int(i), [float(x) for x in rng.normal(size=3).round(2)]) for i in range(400)]
     rows += [(5, rows[5][1]), (100, rows[100][1]), (1000, None), (1001, []), (1002, [1.0, None, 2.0]), (1003, [float("nan")] * 3), (1004, [float("inf")] * 3), (1100, [1.0]), (None, [1.0, 2.0, 3.0]), (1200, [3e38, 1.0, 1.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit("clash"))
+    monkeypatch.setattr(topk, "SHARD_ROWS", shard)
+    monkeypatch.setattr(topk, "LEAF", min(shard, topk.LEAF))
+    monkeypatch.setattr(topk, "QUERY_BLOCK", block)
     got = topk.report(frame).collect()
     clean = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     seen = set()
@@ -330,10 +371,23 @@ def test_top_k(spark):
 # WARC
 
 
-def test_warc(spark):
+@pytest.mark.parametrize(("range_bytes", "few"), [(128 << 20, 0), (700, warc.BROADCAST_ROWS), (90, 0)])
+def test_warc(spark, range_bytes, few, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", few)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, range_bytes)
+    try:
+        check_warc(spark)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def check_warc(spark):
     trap = "x WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
     big = "ü" * 600
-    rows = [(1, "u", trap), (2, "u\r\nv", big), (3, None, big), (4, "", None), (5, "", ""), (6, "", "x" * 999), (7, "", "x" * 999), (8, "", big), (8, "", big), (None, "", big), (9, "", "a\r\n\r\n")]
+    rows = [(1, "u", trap), (2, "u\r\nv", big), (3, None, big), (4, "", None), (5, "", ""), (6, "", "x" * 999), (7, "", "x" * 999), (8, "", big), (8, "", big), (None, "", big), (9, "", "a\r\n\r\n"), (10, "", "end\r\n"), (11, "", "WARC/1.0\r\n" * 40), (12, "", "\r\n\r\n".join(["y" * 90] * 30)), (13, "", "z" * 9_000), (14, "", "\r\n\r\nWARC/1.0\r\nContent-Length: 9999999\r\n\r\n" * 20), (15, "", "\r\n\r\n\r\n" * 9)]
     got = warc.report(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit("clash")))
     mine = sorted(((r.page_id or -1, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got.collect()), key=str)
     real = []
@@ -402,6 +456,48 @@ def test_ordinal_grades():
     assert np.corrcoef(expected, grades)[0, 1] > 0.9
 
 
+def test_ordinal_gradients():
+    r, coder = random.Random(1), quality.Coder()
+    codes = [coder(" ".join(r.choices(["a", "b", "c", "d"], k=12)).encode()) for _ in range(40)]
+    grades = np.array([r.randrange(3) for _ in codes], "f8")
+
+    def loss(model):
+        tails = np.column_stack((np.ones(len(codes)), model.tails(codes), np.zeros(len(codes))))
+        rank = np.searchsorted(model.grades, grades)
+        p = tails[np.arange(len(codes)), rank] - tails[np.arange(len(codes)), rank + 1]
+        weight = 1 / np.bincount(rank)[rank] / len(model.grades)
+        return -(weight * np.log(p)).sum() + quality.PENALTY / 2 * (model.weights**2).sum()
+
+    model = quality.fit_ordinal(codes, grades, 3000)
+    best = loss(model)
+    used = np.unique(np.concatenate(codes))
+    for k in used.tolist():  # a fitted model can't be bettered by any one parameter
+        for step in (0.1, -0.1):
+            model.weights[k] += step
+            assert loss(model) > best
+            model.weights[k] -= step
+    for k in range(2):
+        for step in (0.3, -0.3):
+            model.limits[k] += step
+            assert loss(model) > best
+            model.limits[k] -= step
+
+
+def test_grades_of_any_kind(spark):
+    rows = [(k, " ".join(["good"] * (k % 100) + ["junk"] * (99 - k % 100)), float(k % 100) / 2) for k in range(400)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality double")
+    model = quality.fit(docs, labels)
+    assert model.grades == [k / 2 for k in range(100)] and len(model.limits) == 99
+    assert quality.fit(docs, labels, bound=100).grades == model.grades
+    halves = labels.withColumn("quality", F.when(F.col("quality") >= 25, 4.5).otherwise(4.0))
+    got = {r.doc_id: r.keep for r in quality.report(docs, halves).collect()}
+    assert sum(got[k] == (k % 100 >= 50) for k in got) > 380
+    again = quality.report(docs.unionByName(docs), halves).collect()
+    assert len(again) == 800
+    with pytest.raises(ValueError):
+        quality.fit(spark.range(1001).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), spark.range(1001).select(F.col("id").alias("doc_id"), F.col("id").alias("quality")))
+
+
 def test_quality(spark, empty):
     rows = [(k, " ".join(words(40, k)) if k % 3 else " ".join(f"{x}%%%" for x in words(40, k)), "en", "s", 1, "c", 1, "c") for k in range(300)]
     docs = spark.createDataFrame([*rows, (900, None, "en", "s", 0, "c", 1, "c"), (901, "", "en", "s", 0, "c", 1, "c")], DOCS)
