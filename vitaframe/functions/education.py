@@ -125,6 +125,24 @@ def serialize_entries(entries: Column) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat_ws("|", text(e["degree"]), text(e["institution"]), text(e["year"]))), "; ")
 
 
+def serialize_committees(roles: Column) -> Column:
+    """The roles joined by '; '; none at all is null."""
+    return F.when(F.size(roles) > 0, F.array_join(roles, "; "))
+
+
+def flat_record(entries: Column, roles: Column) -> list[Column]:
+    """A record's lists as text: education as JSON, committee_roles between bars; empty ones are null."""
+    return [F.when(F.size(entries) > 0, F.to_json(entries)).alias("education"), F.when(F.size(roles) > 0, F.array_join(roles, "|")).alias("committee_roles")]
+
+
+def school_without_words(c: Column) -> Column:
+    """Earlier form: lower case, and fixed words deleted wherever they stand; null is empty."""
+    out = F.trim(F.lower(F.coalesce(c, F.lit(""))))
+    for word in T.SCHOOL_WORDS_EARLY:
+        out = F.trim(F.replace(out, F.lit(word), F.lit("")))
+    return out
+
+
 def religion_of_text(text: Column, organisations: Column | None = None) -> Column:
     """Category of the first religion word in the text, else in an organisation's name."""
     table = {w: T.RELIGION_CATEGORIES[w] for w in T.RELIGION_WORDS}

@@ -67,6 +67,12 @@ DEGREE_PHRASES: list[tuple[str, str]] = [
     ("BACHELOR DEGREE", "BA"), ("BACHELORS DEGREE", "BA"), ("JURIS DOCTOR", "JD"), ("JURIS DOCTORATE", "JD"),
     ("MASTER OF BUSINESS", "MBA"), ("MASTER OF SCIENCE", "MS"), ("MASTER OF ARTS", "MA"), ("DOCTOR OF PHILOSOPHY", "PHD"), ("DOCTORATE", "PHD"),
 ]
+# Degrees of a single entry, tried in this order, ignoring case.
+ENTRY_DEGREES: list[tuple[str, str]] = [
+    (r"\b(B\.S\.?)\b", "B.S."), (r"\b(B\.A\.?)\b", "B.A."), (r"\b(BS)\b", "B.S."), (r"\b(BA)\b", "B.A."),
+    (r"\b(M\.S\.?)\b", "M.S."), (r"\b(M\.A\.?)\b", "M.A."), (r"\b(MS)\b", "M.S."), (r"\b(MA)\b", "M.A."),
+    (r"\b(Ph\.?D\.?|PhD)\b", "Ph.D."), (r"\b(J\.?D\.?|JD)\b", "J.D."), (r"\b(M\.?B\.?A\.?|MBA)\b", "M.B.A."), (r"\b(M\.?D\.?|MD)\b", "M.D."), (r"\b(L\.?L\.?B\.?|LLB)\b", "L.L.B."),
+]
 # Dotted degrees and their short forms.
 DEGREES_DOTTED: dict[str, str] = {
     "b.a.": "BA", "b.s.": "BS", "b.e.": "BE", "m.a.": "MA", "m.s.": "MS", "m.b.a.": "MBA", "j.d.": "JD", "l.l.b.": "LLB",
@@ -149,3 +155,18 @@ STATES = [
 ]
 
 SCORE_FIELDS = ["full_name", "gender", "religion", "birthdate_year", "education", "committee_roles"]
+
+# Key words of four fields, for labels in plain text.
+KEYWORDS_FOUR: dict[str, list[str]] = {
+    "name": ["senator", "name"],
+    "education": ["education", "degree", "university", "college", "school", "studied", "graduate", "undergraduate", "alma mater", "attended"],
+    "religion": ["religion", "faith", "church", "denomination", "jewish", "catholic", "baptist", "methodist", "presbyterian", "episcopal", "mormon", "atheist", "agnostic", "unitarian", "evangelical", "pentecostal", "orthodox"],
+    "committee_roles": ["committee", "subcommittee", "member", "ranking member", "chair", "caucus", "congressional"],
+}
+
+# An earlier table of names, and words that an earlier school normaliser deletes wherever they stand.
+NAMES_EARLY: list[tuple[str, str]] = [
+    ("dan", "daniel"), ("tom", "thomas"), ("jon", "jonathan"), ("jim", "james"), ("bob", "robert"), ("will", "william"), ("liz", "elizabeth"), ("pat", "patrick"),
+    ("bert", "albert"), ("ted", "edward"), ("katie", "katherine"), ("cat", "catherine"), ("timothy", "tim"), ("christopher", "chris"), ("anthony", "tony"),
+]
+SCHOOL_WORDS_EARLY = ["university", "college", "school", "institute", "of", "the"]

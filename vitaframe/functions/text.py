@@ -69,6 +69,20 @@ def slug(c: Column, overrides: Mapping[str, str] | None = None) -> Column:
     return F.coalesce(_override(base, overrides), base)
 
 
+def normalize_name_early(c: Column) -> Column:
+    """Earlier form: lower case, no accents, an earlier table of names; middle initials stay; null is empty."""
+    out = remove_accents(F.trim(F.lower(F.coalesce(c, F.lit("")))))
+    for short, long in T.NAMES_EARLY:
+        out = F.regexp_replace(out, rf"\b{short}\b", long)
+    return out
+
+
+def slug_early(c: Column, overrides: Mapping[str, str] | None = None) -> Column:
+    """Oldest form: a middle initial goes, spaces become underscores, letters stay as they are."""
+    base = F.replace(F.trim(F.regexp_replace(c, r"\s+[A-Z]\.\s*", " ")), F.lit(" "), F.lit("_"))
+    return F.coalesce(*(F.when(base == k, F.lit(v)) for k, v in (overrides or {}).items()), base)
+
+
 def _override(base: Column, overrides: Mapping[str, str] | None) -> Column:
     hits = [F.when(F.contains(F.lower(base), F.lit(k.lower())), v) for k, v in (overrides or {}).items()]
     return F.coalesce(*hits) if hits else F.lit(None).cast("string")

@@ -79,6 +79,54 @@ def join_truth_fuzzy(predictions: DataFrame, truth: DataFrame, key: str = "entit
     return join_truth(predictions, exact, key).unionByName(fuzzy, allowMissingColumns=True)
 
 
+def join_truth_or_names(predictions: DataFrame, truth: DataFrame, key: str = "entity_id", name: str = "full_name", least: float = 85.0) -> DataFrame:
+    """Join by key; only if that finds nothing at all, by the best-matching names."""
+    exact = join_truth(predictions, truth, key)
+    return join_truth_fuzzy(predictions, truth, key, name, least) if exact.isEmpty() else exact
+
+
+def fuzzy_lookup(frame: DataFrame, names: DataFrame, name: str, value: str, aliases: Mapping[str, str] | None = None, exclude: list[str] | None = None, least: float = 85.0) -> DataFrame:
+    """frame with `value` of the best-matching name in names, or null. aliases stand in for names; excluded ones match nothing."""
+    asked = F.col(name)
+    if aliases:
+        table = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))
+        asked = F.coalesce(F.get(F.array(table[F.col(name)]), F.lit(0)), asked)
+    if exclude:
+        asked = F.when(~F.col(name).isin(exclude), asked)
+    asking = frame.withColumn("_asked", asked)
+    found = fuzzy_matches(asking.select(F.col("_asked").alias(name)), names, name, least)
+    values = names.groupBy(name).agg(F.min(value).alias(value)).select(F.col(name).alias("right_name"), value)
+    best = found.join(values, "right_name").select(F.col("left_name").alias("_asked"), value)
+    return asking.join(best, "_asked", "left").drop("_asked")
+
+
+def corpus_text_score(joined: DataFrame, fields: Mapping[str, tuple[str, str, Callable[[Column], Column]]], scorer: Callable[[Column, Column], Column]) -> DataFrame:
+    """(field, score, n): mean over the rows with a truth. fields: (truth column, prediction column, how to read a prediction).
+
+    A missing prediction is an empty one, and so scores 0.
+    """
+    parts = []
+    for field, (truth, pred, parse) in fields.items():
+        t = F.trim(F.coalesce(F.col(truth), F.lit("")))
+        rows = joined.select(t.alias("t"), parse(F.coalesce(F.col(pred), F.lit(""))).alias("p")).where("t <> ''")
+        parts.append(rows.agg(F.avg(F.coalesce(scorer(F.col("p"), F.col("t")), F.lit(0.0))).alias("score"), F.count("*").alias("n")).select(F.lit(field).alias("field"), "score", "n"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.where("n > 0")
+
+
+def best_candidate_texts(pairs: DataFrame, keys: list[str], score: str, text: str) -> DataFrame:
+    """The text of each key's best candidate, to hand to another scorer; a null score is the least, ties go to the smaller text."""
+    best = F.min_by(F.col(text), F.struct(-F.coalesce(F.col(score), F.lit(-1.0)), F.col(text)))
+    return pairs.groupBy(*keys).agg(best.alias(text))
+
+
+def pivot_first(frame: DataFrame, row: str, column: str, value: str, columns: list[str], order: str) -> DataFrame:
+    """One column for each of `columns` with the value of its first row by `order`."""
+    return frame.groupBy(row).pivot(column, columns).agg(F.min_by(value, order))
+
+
 def with_scores(joined: DataFrame, fields: Mapping[str, tuple[str, str]] | None = None, scorers: Mapping[str, Callable[[Column, Column], Column]] = SCORERS) -> DataFrame:
     """entity_id, method and one <field>_score for each field: {field: (prediction column, truth column)}."""
     fields = fields or {f: (f"pred_{f.removesuffix('_year')}", f"gt_{f.removesuffix('_year')}") for f in T.SCORE_FIELDS}

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitaframe.functions import tables as T
-from vitaframe.functions.education import degree_from_dotted, religion_of_text
-from vitaframe.functions.text import blank_to_null, match_offsets, ordered_lookup
+from vitaframe.functions.education import degree_from_dotted, normalize_degree, normalize_school, religion_of_text
+from vitaframe.functions.text import blank_to_null, let, match_offsets, ordered_lookup
 
 
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
@@ -100,10 +100,9 @@ def committees_in_text(text: Column) -> Column:
 
 def religion_in_text(text: Column, limit: int = 3000) -> Column:
     """Category of the first keyword in the first characters; 'church' is skipped where 'Church St' occurs."""
-    keywords = ["religion", "faith", "church", "denomination", *("jewish catholic baptist methodist presbyterian episcopal mormon atheist agnostic unitarian evangelical pentecostal orthodox".split())]
     head = F.lower(F.substring(text, 1, limit))
     tries = []
-    for k in keywords:
+    for k in T.KEYWORDS_FOUR["religion"]:
         category = ordered_lookup(F.lit(k), T.RELIGION_CATEGORIES, either_way=True)
         hit = F.contains(head, F.lit(k))
         if k == "church":
@@ -170,6 +169,62 @@ def split_entries(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"[;\n]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def split_listing(text: Column) -> Column:
+    """Entries between semicolons; without any, the lines, if there are several; else the text."""
+    parts = F.transform(F.split(text, ";"), lambda x: F.trim(x))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.contains(text, F.lit(";")), parts).when(F.size(lines) > 1, lines).otherwise(F.array(text))
+
+
+def single_entry(text: Column) -> Column:
+    """struct<degree, institution, year> of one entry: the first four digits, the first degree by T.ENTRY_DEGREES, and the rest.
+
+    A rest of over 50 characters with several school words ends after the first of these.
+    """
+    schools = r"university|college|institute|school|academy"
+
+    def cleaned(rest: Column) -> Column:
+        return F.trim(F.regexp_replace(F.regexp_replace(F.trim(rest), r"\s+", " "), r"[,;()]+", ""))
+
+    def shortened(rest: Column) -> Column:
+        long = (F.length(rest) > 50) & (F.regexp_count(rest, F.lit(f"(?i){schools}")) > 1)
+        return F.when(long, F.trim(F.regexp_extract(rest, rf"(?is)^(.*?(?:{schools}))", 1))).otherwise(rest)
+
+    def parts(entry: Column) -> Column:
+        degree = F.coalesce(*(F.when(entry.rlike(f"(?i){p}"), F.lit(name)) for p, name in T.ENTRY_DEGREES))
+        rest = F.coalesce(*(F.when(entry.rlike(f"(?i){p}"), F.regexp_replace(entry, f"(?i){p}", "")) for p, _ in T.ENTRY_DEGREES), entry)
+        return F.struct(degree.alias("degree"), let(let(rest, cleaned), shortened).alias("rest"))
+
+    def whole(text: Column) -> Column:
+        year = blank_to_null(F.regexp_extract(text, r"(\d{4})", 1))
+        entry = F.when(text.rlike(r"\d{4}"), F.trim(F.regexp_replace(text, r"\s*\(?\d{4}\)?\s*", " "))).otherwise(F.trim(text))
+        return let(let(entry, parts), lambda x: F.struct(let(x["degree"], lambda d: F.when(d.isNotNull(), normalize_degree(d))).alias("degree"), let(x["rest"], lambda r: F.when(F.length(r) > 1, normalize_school(r))).alias("institution"), year.cast("int").alias("year")))
+
+    return let(text, whole)
+
+
+def value_cell_entries(text: Column) -> Column:
+    """Entries of a cell: for each line the degrees in parentheses, else the line as one entry, if it names a school."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 1)
+
+    def entries(line: Column) -> Column:
+        listed = F.transform(degree_list_entries(line), lambda e: F.struct(e["degree"].alias("degree"), e["institution"].alias("institution"), F.lit(None).cast("int").alias("year")))
+        return let(listed, lambda x: F.when(F.size(x) > 0, x).otherwise(F.filter(F.array(single_entry(line)), lambda e: e["institution"].isNotNull())))
+
+    return F.flatten(F.transform(lines, entries))
+
+
+def years_of_dates(entities: Column) -> Column:
+    """Distinct years 19xx and 20xx in the entities labelled DATE, in order."""
+    return F.array_distinct(F.flatten(F.transform(F.filter(entities, lambda e: e["label"] == "DATE"), lambda e: F.regexp_extract_all(e["text"], F.lit(r"\b(?:19|20)\d{2}\b"), F.lit(0)))))
+
+
+def first_of_types(entities: Column, names: dict[str, str]) -> list[Column]:
+    """A column for each label: the text of its first entity. names: column by label."""
+    first = lambda label: F.get(F.filter(entities, lambda e: e["label"] == label), F.lit(0))["text"]
+    return [first(label).alias(name) for label, name in names.items()]
+
+
 class EntityRecognizer(Protocol):
     """Finds (text, label) pairs in each text of a batch."""
 
@@ -222,7 +277,14 @@ class CallPolicy:
 
 
 class QuotaError(RuntimeError):
-    """The model asks for fewer calls."""
+    """The model asks for fewer calls; its message may say 'retry in N s'."""
+
+    def wait(self) -> float | None:
+        """The seconds asked for, and two more."""
+        import re
+
+        found = re.search(r"(?:retry|try again) in (\d+(?:\.\d+)?)\s*s", str(self), re.I)
+        return float(found[1]) + 2 if found else None
 
 
 def call_model(model: ProfileModel, prompt: str, text: str, policy: CallPolicy) -> tuple[str | None, str | None]:
@@ -237,7 +299,7 @@ def call_model(model: ProfileModel, prompt: str, text: str, policy: CallPolicy)
         except QuotaError as e:
             if attempt + 1 == policy.tries:
                 return None, str(e)
-            sleep(policy.pause(attempt))
+            sleep(e.wait() or policy.pause(attempt))
         except Exception as e:  # a failed document must not stop the others
             return None, str(e)
     return None, "no attempt"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import logging
+import time
+import os
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field, fields
 
@@ -65,6 +67,17 @@ def summary(config: RunConfig, n_pages: int) -> str:
     return json.dumps(asdict(config) | {"pages": n_pages, "active_styles": config.active_styles()}, sort_keys=True)
 
 
+def log_to_file(folder: str, level: int = logging.INFO) -> str:
+    """Also writes the library's log to a new file in the folder, named by the time; returns its path."""
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, time.strftime("vitaframe_%Y%m%d_%H%M%S.log"))
+    handler = logging.FileHandler(path, encoding="utf-8")
+    handler.setFormatter(logging.Formatter("%(asctime)s %(name)s %(levelname)s %(message)s"))
+    handler.setLevel(level)
+    logger().addHandler(handler)
+    return path
+
+
 def logger(name: str = "", level: int = logging.INFO) -> logging.Logger:
     """A logger below `vitaframe`, with one console handler at its root."""
     root = logging.getLogger("vitaframe")
