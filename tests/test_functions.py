@@ -201,7 +201,7 @@ def test_whole_queries_read_long_texts(spark, tmp_path):
 
     texts = {1: "Ann met Acme Bob", 2: "word " * 1000 + "Zed Omaha Ohio " + "x" * 9000}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {n: {r.doc_id: r for r in QUERIES[f"{n}_whole"](spark, str(tmp_path)).collect()} for n in ("l01_injected", "k19_entity_fields", "k23_entity_buckets", "k26_entities_by_label")}
+    got = {n: {r.doc_id: r for r in QUERIES[n](spark, str(tmp_path)).collect()} for n in ("l01_injected", "k19_entity_fields", "k23_entity_buckets", "k26_entities_by_label")}
     for i, t in texts.items():
         by = lambda k: [w for w in re.findall("[A-Z][a-z]+", t) if len(w) % 3 == k]  # noqa: B023, E731
         half = len(t) // 2
@@ -211,6 +211,18 @@ def test_whole_queries_read_long_texts(spark, tmp_path):
         assert got["k26_entities_by_label"][i].orgs == "|".join(sorted(set(by(0))))
 
 
+def test_nearest_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    for left, right in ((400, 300), (50, 1), (50, 0), (0, 5)):
+        mine = [(i, rng.choice([None, 7.0, rng.randrange(2000) / 100])) for i in range(left)]
+        theirs = [(k, rng.choice([None, 5.0, rng.randrange(2000) / 100])) for k in range(right)]
+        a, b = spark.createDataFrame(mine, "id long, v double"), spark.createDataFrame(theirs, "k long, w double")
+        got = {r.id: r.k for r in evaluate.nearest(a, b, "v", "w", "k").collect()}
+        assert got == {i: min(((abs(w - v), k) for k, w in theirs if w is not None), default=(0, None))[1] if v is not None else None for i, v in mine}
+
+
 def test_every_prompt_and_biography_is_asked(spark, sf_dir):
     from vitaframe.plans.relational import QUERIES
 

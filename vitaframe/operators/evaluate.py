@@ -68,6 +68,41 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, name: str, least: float = 8
     return scored.withColumn("_nth", F.row_number().over(Window.partitionBy("left_name").orderBy(F.desc("ratio"), "right_name"))).where("_nth = 1").drop("_nth")
 
 
+def nearest(left: DataFrame, right: DataFrame, left_value: str, right_value: str, right_key: str) -> DataFrame:
+    """Each left row with the right key whose value is nearest; ties to the smaller key, null for a null value or no right rows.
+
+    The distinct values of both sides are sorted together by range, and each looks up and down its range;
+    the ends of a range come from a table with one row a range. Repeated values meet once, so a frequent
+    one makes no large range. Ranges are cut at approximate quantiles, which decide their sizes alone.
+    """
+    spark = left.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = left.select(F.col(left_value).cast("double").alias("_v")).where("_v is not null").distinct()
+    offered = right.select(F.col(right_value).cast("double").alias("_v"), F.col(right_key).alias("_k")).where("_v is not null and _k is not null").groupBy("_v").agg(F.min("_k").alias("_k"))
+    both = asked.withColumn("_asked", F.lit(True)).join(offered, "_v", "full")
+    point = F.when(F.col("_k").isNotNull(), F.struct("_v", "_k"))
+    cuts = asked.union(offered.select("_v")).approxQuantile("_v", [k / parts for k in range(1, parts)] or [0.5], 0.25 / parts)
+    at = F.array_size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col("_v")))
+    both = both.select("_v", "_asked", point.alias("_p"), at.alias("_at"))
+    here = Window.partitionBy("_at").orderBy("_v")
+    ends = both.groupBy("_at").agg(F.min("_p").alias("_first"), F.max("_p").alias("_last"))  # a row for each range
+    over = Window.orderBy("_at")
+    ends = ends.select(
+        "_at",
+        F.last("_last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_first", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    found = both.select(
+        "_v", "_asked", "_at",
+        F.last("_p", True).over(here.rowsBetween(Window.unboundedPreceding, 0)).alias("_low"),
+        F.first("_p", True).over(here.rowsBetween(0, Window.unboundedFollowing)).alias("_high"),
+    ).where("_asked").join(F.broadcast(ends), "_at")
+    sides = F.array(F.coalesce("_low", "_before"), F.coalesce("_high", "_after"))
+    best = F.array_min(F.transform(F.filter(sides, lambda s: s.isNotNull()), lambda s: F.struct(F.abs(s["_v"] - F.col("_v")).alias("d"), s["_k"].alias("k"))))
+    found = found.select("_v", best["k"].alias(right_key))
+    return left.withColumn("_v", F.col(left_value).cast("double")).join(found, "_v", "left").drop("_v")
+
+
 def join_truth_fuzzy(predictions: DataFrame, truth: DataFrame, key: str = "entity_id", name: str = "full_name", least: float = 85.0) -> DataFrame:
     """Exact join by key; truth rows without one join by their best-matching name."""
     exact = truth.join(predictions.select(key).distinct(), key, "left_semi")

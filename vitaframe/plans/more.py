@@ -98,11 +98,10 @@ def _(spark, sf_dir):
     return pending(tasks, tasks.where("entity_id % 2 = 0 and method = 'icl'"), ["entity_id", "method"])
 
 
-@query("c17_best_alignment", "SELECT a.c_custkey, b.s_suppkey FROM (SELECT * FROM customer WHERE c_custkey <= 50) a, LATERAL (SELECT s_suppkey FROM supplier ORDER BY abs(s_acctbal - a.c_acctbal), s_suppkey LIMIT 1) b")
+@query("c17_best_alignment", "SELECT a.c_custkey, b.s_suppkey FROM customer a, LATERAL (SELECT s_suppkey FROM supplier ORDER BY abs(s_acctbal - a.c_acctbal), s_suppkey LIMIT 1) b")
 def _(spark, sf_dir):
-    few = table(spark, sf_dir, "supplier").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_acctbal"))).alias("s"))
-    best = F.array_min(F.transform("s", lambda s: F.struct(F.abs(s["s_acctbal"] - F.col("c_acctbal")).alias("d"), s["s_suppkey"].alias("k"))))
-    return table(spark, sf_dir, "customer").where("c_custkey <= 50").crossJoin(F.broadcast(few)).select("c_custkey", best["k"].alias("s_suppkey"))
+    found = evaluate.nearest(table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier"), "c_acctbal", "s_acctbal", "s_suppkey")
+    return found.select("c_custkey", "s_suppkey")
 
 
 @query("d05_mean_of_means", f"SELECT method, avg(mean) AS overall FROM ({SUMMARY}) GROUP BY method", **SCORES, long=LONG)
@@ -270,11 +269,6 @@ def _(spark, sf_dir):
     return _entities(spark, sf_dir).select("doc_id", F.array_join(F.slice(extract.of_label(F.col("entities"), "PERSON"), 1, 5), "|").alias("persons"))
 
 
-@query("k23_entity_buckets_whole")
-def _(spark, sf_dir):
-    return _entities(spark, sf_dir, True).select("doc_id", F.array_join(F.slice(extract.of_label(F.col("entities"), "PERSON"), 1, 5), "|").alias("persons"))
-
-
 @query("k25_religion_of_entities", "SELECT entity_id, CASE WHEN entity_id % 2 = 0 THEN 'christian' ELSE CASE entity_id % 7 WHEN 0 THEN 'christian' WHEN 1 THEN 'jewish' WHEN 2 THEN 'orthodox' END END AS religion FROM bio", bio=BIOGRAPHIES)
 def _(spark, sf_dir):
     name = F.when(F.col("entity_id") % 2 == 0, "First Baptist Church").otherwise("Oak University")

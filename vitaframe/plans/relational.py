@@ -341,15 +341,15 @@ _bio("k08_labelled_value", lambda: [extract.labelled_value(F.concat(F.lit("Educa
 _bio("k32_list_entries", lambda: [F.to_json(extract.list_entry(F.lit("Oak University (B.A.), 1985"))).alias("entry"), F.size(extract.degree_list_entries(F.lit("Oak College (B.A., M.A.); Elm School (J.D.)"))).alias("n"), F.array_join(extract.split_entries(F.concat(F.lit("a; b;"), F.col("entity_id").cast("string"))), "|").alias("parts")], "'{\"degree\":\"BA\",\"institution\":\"Oak University\",\"year\":\"1985\"}' AS entry, 3 AS n, 'a|b|' || CAST(entity_id AS STRING) AS parts")
 
 
-def _entities(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Capitalised words of documents with a label by their length; of all documents, or of those that the SQL reads."""
-    docs = table(spark, sf_dir, "documents").where("true" if whole else "length(text) < 2000")
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capitalised words of all documents, with a label by their length."""
+    docs = table(spark, sf_dir, "documents")
     words = F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]+"), F.lit(0))
     label = lambda w: F.element_at(F.array(F.lit("ORG"), F.lit("PERSON"), F.lit("GPE")), F.length(w) % 3 + 1)
     return docs.select("doc_id", "text", F.transform(words, lambda w: F.struct(w.alias("text"), label(w).alias("label"))).alias("entities"))
 
 
-_ENT = "SELECT doc_id, text, list_transform(regexp_extract_all(text, '[A-Z][a-z]+'), lambda w: {'text': w, 'label': ['ORG', 'PERSON', 'GPE'][length(w) % 3 + 1]}) AS entities FROM documents WHERE length(text) < 2000"
+_ENT = "SELECT doc_id, text, list_transform(regexp_extract_all(text, '[A-Z][a-z]+'), lambda w: {'text': w, 'label': ['ORG', 'PERSON', 'GPE'][length(w) % 3 + 1]}) AS entities FROM documents"
 
 
 @query("k26_entities_by_label", f"SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(entities, lambda e: e.label = 'ORG'), lambda e: e.text))), '|'), '') AS orgs FROM ({_ENT})")
@@ -362,16 +362,6 @@ def _(spark, sf_dir):
     return _entities(spark, sf_dir).select("doc_id", *extract.entity_fields(F.col("entities")))
 
 
-@query("k26_entities_by_label_whole")
-def _(spark, sf_dir):
-    return _entities(spark, sf_dir, True).select("doc_id", F.array_join(extract.of_label(F.col("entities"), "ORG"), "|").alias("orgs"))
-
-
-@query("k19_entity_fields_whole")
-def _(spark, sf_dir):
-    return _entities(spark, sf_dir, True).select("doc_id", *extract.entity_fields(F.col("entities")))
-
-
 @query("k14_degrees_near_entities")
 def _(spark, sf_dir):
     orgs = F.array(F.lit("Elm College"), F.lit("Oak University"))
@@ -406,18 +396,9 @@ def _(spark, sf_dir):
 _MID = "CAST(floor(length(text) / 2) AS INT)"
 
 
-@query("l01_injected", f"SELECT doc_id, 'X\n\n' || text AS a, text[1:{_MID}] || '\n\nX\n\n' || text[{_MID} + 1:] AS b, text || '\n\nX' AS c FROM documents WHERE length(text) < 1000")
+@query("l01_injected", f"SELECT doc_id, 'X\n\n' || text AS a, text[1:{_MID}] || '\n\nX\n\n' || text[{_MID} + 1:] AS b, text || '\n\nX' AS c FROM documents")
 def _(spark, sf_dir):
-    return _injected(table(spark, sf_dir, "documents").where("length(text) < 1000"))
-
-
-@query("l01_injected_whole")
-def _(spark, sf_dir):
-    return _injected(table(spark, sf_dir, "documents"))
-
-
-def _injected(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", *(robustness.injected(F.col("text"), F.lit("X"), F.lit(p)).alias(n) for p, n in (("start", "a"), ("middle", "b"), ("end", "c"))))
+    return table(spark, sf_dir, "documents").select("doc_id", *(robustness.injected(F.col("text"), F.lit("X"), F.lit(p)).alias(n) for p, n in (("start", "a"), ("middle", "b"), ("end", "c"))))
 
 
 _ANSWERS = "SELECT entity_id, method, CASE WHEN entity_id % 13 = 0 THEN 'bad json' END AS error, CASE WHEN entity_id % 5 = 0 THEN 'Atheist' ELSE religion END AS religion FROM ({p}) t"
