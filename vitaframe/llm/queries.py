@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitaframe.llm import decontaminate, hpylm, near_dup, packing, quality, sharding, substring_dedup, topk, toxicity, warc
+from vitaframe.llm import decontaminate, hpylm, near_dup, packing, quality, ranked_search, sharding, substring_dedup, suffix_dedup, topk, toxicity, variants, warc
 from vitaframe.llm.common import read
 
 
@@ -50,6 +50,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(read(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_substring_dedup": op2_substring_dedup,
@@ -61,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_near_dup": op9_near_dup,
     "op10_packing": op10_packing,
+    "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -150,5 +165,40 @@ reach AS (
   SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM (SELECT DISTINCT doc_id FROM doc) LEFT JOIN size USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+""",
+    "op11_suffix_dedup": """
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+piece AS (SELECT doc_id, base, substr(h, 2 * base + 1, 2 * 1099) AS part FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, 1000)) AS base FROM doc)),
+win AS (
+  SELECT doc_id, base + q AS p, md5_number(substr(part, 2 * q + 1, 200)) AS gram
+  FROM (SELECT doc_id, base, part, unnest(range(0, least(1000, len(part) // 2 - 99))) AS q FROM piece WHERE len(part) >= 200)),
+firsts AS (SELECT gram, min({'d': doc_id, 'p': p}) AS f FROM win GROUP BY gram HAVING count(*) > 1),
+later AS (SELECT doc_id, p FROM win JOIN firsts USING (gram) WHERE doc_id > f.d OR doc_id = f.d AND p > f.p),
+marked AS (SELECT doc_id, p, max(p + 100) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM later),
+island AS (SELECT doc_id, p, sum(CASE WHEN reach IS NULL OR p > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM marked),
+gone AS (SELECT doc_id, k, min(p) AS a, max(p) + 100 AS b FROM island GROUP BY doc_id, k),
+gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c, a AS d FROM gone UNION ALL SELECT doc_id, max(b), 1000000000 FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * c + 1, 2 * (d - c)), '' ORDER BY c) AS stay FROM gap JOIN doc USING (doc_id) GROUP BY doc_id),
+cut AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(stay, h))) AS kept_sha256
+FROM doc LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
+    "op12_ranked_search": rf"""
+WITH word AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_A}', '{_Z}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+size AS (SELECT doc_id, count(*) AS n FROM word GROUP BY doc_id),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM word GROUP BY doc_id, term),
+total AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM size),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term) CROSS JOIN total),
+m AS (SELECT doc_id, 100 - 90 + (90 * n * nn) // ll AS m FROM size CROSS JOIN total),
+item AS (
+  SELECT DISTINCT item_id, term FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, '{_A}', '{_Z}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)),
+score AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM item JOIN weight USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM score WHERE score > 0 QUALIFY rank <= 10
 """,
 }
