@@ -170,3 +170,8 @@ NAMES_EARLY: list[tuple[str, str]] = [
     ("bert", "albert"), ("ted", "edward"), ("katie", "katherine"), ("cat", "catherine"), ("timothy", "tim"), ("christopher", "chris"), ("anthony", "tony"),
 ]
 SCHOOL_WORDS_EARLY = ["university", "college", "school", "institute", "of", "the"]
+
+# Fixed value: degrees before which a text is cut.
+CUT_DEGREES = r"(?i)\b(B\.S\.|BS|B\.A\.|BA|M\.S\.|MS|M\.A\.|MA|Ph\.D\.|PhD|J\.D\.|JD|MBA|M\.B\.A\.|LLB|L\.L\.B\.|MD|M\.D\.)\b"
+# Fixed value: degrees and words for them near organisations.
+DEGREE_WIDE = r"(?i)(B\.A\.|B\.S\.|M\.A\.|M\.S\.|M\.B\.A\.|M\.D\.|Ph\.D\.|J\.D\.|D\.D\.S\.|D\.V\.M\.|LL\.B\.|Bachelor|Master|Doctorate|Ph\.D)"

@@ -250,10 +250,15 @@ def clean_roles(c: Column) -> Column:
 
 
 def match_offsets(text: Column, pattern: str) -> Column:
-    """array<struct<start (from 0), match>> of a pattern's matches, from the lengths of the pieces between them."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    ends = lambda n: F.aggregate(F.slice(pieces, 1, n), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(found, 1, n - 1), F.lit(0), lambda a, x: a + F.length(x))
-    return F.transform(found, lambda m, i: F.struct(ends(i + 1).alias("start"), m.alias("match")))
+    """array<struct<start (from 0), match>> of a pattern's matches, from the lengths of the pieces between them.
+
+    Each pass over the text is bound to a name, as an expression inside a lambda would be computed for every match.
+    """
+    both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    sizes = lambda x: F.zip_with(x["pieces"], F.concat(F.array(F.lit("")), x["found"]), lambda p, m: F.length(p) + F.length(m))
+    start = lambda s, n: F.aggregate(F.slice(s, 1, n), F.lit(0), lambda a, x: a + x)
+    at = lambda x, s: F.transform(x["found"], lambda m, i: F.struct(start(s, i + 1).alias("start"), m.alias("match")))
+    return let(both, lambda x: let(sizes(x), lambda s: at(x, s)))
 
 
 def apply_all(c: Column, *steps: Callable[[Column], Column]) -> Column:

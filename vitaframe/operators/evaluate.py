@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Mapping
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitaframe.functions import tables as T
 from vitaframe.functions.scores import SCORERS
-from vitaframe.functions.udfs import best_token_sorts
-
-#: Names in a block of the fuzzy match, on the left and on the right.
-FUZZY_LEFT, FUZZY_RIGHT = 64, 1000
+from vitaframe.operators.fuzzy import fuzzy_matches
 
 
 def prefixed(frame: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
@@ -32,42 +28,6 @@ def first_truth(truth: DataFrame, key: str, order: list[str]) -> DataFrame:
     return truth.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_nth = 1").drop("_nth")
 
 
-def _blocks(names: DataFrame, column: str, size: int) -> DataFrame:
-    """The column's values in arrays of at most `size`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[str] = []
-        for batch in batches:
-            held += batch.column(0).to_pylist()
-            while len(held) >= size:
-                yield pa.RecordBatch.from_arrays([pa.array([held[:size]], pa.list_(pa.string()))], [column])
-                held = held[size:]
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([held], pa.list_(pa.string()))], [column])
-
-    return names.mapInArrow(run, f"{column} array<string>")
-
-
-def fuzzy_matches(left: DataFrame, right: DataFrame, name: str, least: float = 85.0) -> DataFrame:
-    """(left_name, right_name, ratio): for each distinct left name the best right name above `least`; ties to the smaller name.
-
-    At every size all pairs are compared, block by block; only the best of a block goes on.
-    """
-    tasks = left.sparkSession.sparkContext.defaultParallelism
-    a = left.select(F.col(name).cast("string").alias("left_name")).where("left_name is not null").distinct().repartition(tasks, "left_name")
-    b = right.select(F.col(name).cast("string").alias("right_name")).where("right_name is not null").distinct()
-    pairs = _blocks(a, "left_names", FUZZY_LEFT).crossJoin(_blocks(b, "right_names", FUZZY_RIGHT))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lefts, rights in zip(batch.column("left_names"), batch.column("right_names"), strict=True):
-                rows = best_token_sorts(lefts.as_py(), rights.as_py(), least)
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["left_name", "right_name", "ratio"])
-
-    scored = pairs.mapInArrow(run, "left_name string, right_name string, ratio double")
-    return scored.withColumn("_nth", F.row_number().over(Window.partitionBy("left_name").orderBy(F.desc("ratio"), "right_name"))).where("_nth = 1").drop("_nth")
-
-
 def nearest(left: DataFrame, right: DataFrame, left_value: str, right_value: str, right_key: str) -> DataFrame:
     """Each left row with the right key whose value is nearest; ties to the smaller key, null for a null value or no right rows.
 

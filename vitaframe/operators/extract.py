@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Protocol
 
 import pandas as pd
@@ -81,16 +82,19 @@ def degrees_in_text(text: Column) -> Column:
     return F.array_distinct(F.transform(match_offsets(text, T.DEGREE), entry))
 
 
-def degrees_near_entities(text: Column, organisations: Column) -> Column:
-    """Each degree with the first organisation named within 200 characters and the first year 19xx or 20xx there; repeats stay."""
+def degrees_near_entities(text: Column, organisations: Column, pattern: str = T.DEGREE, normal: Callable[[Column], Column] = degree_from_dotted) -> Column:
+    """Each degree with the first organisation named within 200 characters and the first year 19xx or 20xx there; repeats stay.
+
+    With T.DEGREE_WIDE and a `normal` that changes nothing, degrees stay as they are written and words for them count too.
+    """
 
     def entry(m: Column) -> Column:
         start = m["start"]
         region = F.substring(text, F.greatest(start - 199, F.lit(1)), F.least(start, F.lit(200)) + 200)
         school = F.get(F.filter(organisations, lambda o: F.contains(F.lower(region), F.lower(o))), F.lit(0))
-        return F.struct(degree_from_dotted(m["match"]).alias("degree"), school.alias("institution"), first_match(region, r"((?:19|20)\d{2})").cast("int").alias("year"))
+        return F.struct(normal(m["match"]).alias("degree"), school.alias("institution"), first_match(region, r"((?:19|20)\d{2})").cast("int").alias("year"))
 
-    return F.transform(match_offsets(text, T.DEGREE), entry)
+    return F.transform(match_offsets(text, pattern), entry)
 
 
 def committees_in_text(text: Column) -> Column:
@@ -169,6 +173,17 @@ def split_entries(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"[;\n]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def split_by_degrees(text: Column) -> Column:
+    """The text cut before each degree of T.CUT_DEGREES, pieces trimmed; what stands before the first goes. With fewer than two degrees it stays whole.
+
+    The pieces come from one pass each for the degrees and for what stands between them.
+    """
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    found, between = F.regexp_extract_all(text, F.lit(T.CUT_DEGREES), F.lit(0)), F.split(text, T.CUT_DEGREES, -1)
+    pieces = F.zip_with(found, F.slice(between, 2, F.greatest(F.size(found), F.lit(1))), lambda degree, rest: trim(F.concat(degree, rest)))
+    return F.when(F.size(found) < 2, F.array(trim(text))).otherwise(F.filter(pieces, lambda x: x != ""))
+
+
 def split_listing(text: Column) -> Column:
     """Entries between semicolons; without any, the lines, if there are several; else the text."""
     parts = F.transform(F.split(text, ";"), lambda x: F.trim(x))
@@ -265,17 +280,40 @@ def recognize(frame: DataFrame, recognizer: Callable[[], EntityRecognizer], id_:
 
 @dataclass
 class CallPolicy:
-    """Pace and retries of model calls. tries: attempts at most; pause grows as 2^attempt up to longest."""
+    """Pace and retries of model calls. tries: attempts at most; pause grows as 2^attempt up to longest.
+
+    calls_per_minute bounds the calls of all tasks together, retries included; delay_s is each task's own pause after a call.
+    """
 
     delay_s: float = 0.0
     tries: int = 5
     longest_s: float = 120.0
     sleep: Callable[[float], None] = field(default=None)
+    calls_per_minute: float | None = None
 
     def pause(self, attempt: int) -> float:
         return min(2.0**attempt, self.longest_s)
 
 
+class Pace:
+    """Turns at calling, shared by all holders of a lease without talking to each other.
+
+    Time is cut into slots of a minute by calls_per_minute. Slot s belongs to the lease s modulo the number of leases, and
+    its holder may start one call when it begins. A slot missed is lost, so late starters never catch up in a burst.
+    The machines' clocks must agree to within a slot.
+    """
+
+    def __init__(self, calls_per_minute: float, leases: int, now: Callable[[], float], sleep: Callable[[float], None]) -> None:
+        self.width, self.leases, self.now, self.sleep, self.used = 60.0 / calls_per_minute, leases, now, sleep, {}
+
+    def wait(self, lease: int) -> None:
+        slot = max(int(self.now() // self.width), self.used.get(lease, -1)) + 1
+        slot += (lease - slot) % self.leases
+        self.used[lease] = slot
+        while (rest := slot * self.width - self.now()) > 0:
+            self.sleep(rest)
+
+
 class QuotaError(RuntimeError):
     """The model asks for fewer calls; its message may say 'retry in N s'."""
 
@@ -287,14 +325,16 @@ class QuotaError(RuntimeError):
         return float(found[1]) + 2 if found else None
 
 
-def call_model(model: ProfileModel, prompt: str, text: str, policy: CallPolicy) -> tuple[str | None, str | None]:
-    """(answer, error): quota errors are tried again, others reported."""
+def call_model(model: ProfileModel, prompt: str, text: str, policy: CallPolicy, turn: Callable[[], None] | None = None) -> tuple[str | None, str | None]:
+    """(answer, error): quota errors are tried again, others reported. turn: waited for before every attempt."""
     import time
 
     sleep = policy.sleep or time.sleep
     full = prompt.replace("{text}", text) if "{text}" in prompt else f"{prompt}\n\n{text}"
     for attempt in range(policy.tries):
         try:
+            if turn:
+                turn()
             return model(full, text), None
         except QuotaError as e:
             if attempt + 1 == policy.tries:
@@ -305,23 +345,43 @@ def call_model(model: ProfileModel, prompt: str, text: str, policy: CallPolicy)
     return None, "no attempt"
 
 
-def ask(frame: DataFrame, prompts: DataFrame, model: Callable[[], ProfileModel], policy: CallPolicy | None = None, slots: int = 4) -> DataFrame:
-    """(entity_id, style, answer, extraction_error) for each text and prompt; `slots` tasks call at once."""
+#: Prompts that ask() takes; more are an error, as they are sent to all tasks.
+MOST_PROMPTS = 1000
+
+
+def answers(tasks: DataFrame, keys: list[str], model: Callable[[], ProfileModel], policy: CallPolicy | None = None, slots: int | None = None) -> DataFrame:
+    """(keys, answer, extraction_error) for each row of (keys, text, prompt). slots: leases, and tasks that call at once; as many as cores by default.
+
+    Rows are dealt to leases by their keys, and each lease's rows lie in one task, so policy.calls_per_minute holds for all tasks together.
+    """
     policy = policy or CallPolicy()
+    leases = slots or tasks.sparkSession.sparkContext.defaultParallelism
+    kinds = {f.name: f.dataType.simpleString() for f in tasks.schema}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
 
-        own = model()
-        for frame_ in frames:
+        own, sleep = model(), policy.sleep or time.sleep
+        pace = Pace(policy.calls_per_minute, leases, time.time, sleep) if policy.calls_per_minute else None
+        for frame in frames:
             rows = []
-            for r in frame_.itertuples():
-                answer, error = call_model(own, r.prompt, r.text or "", policy)
-                rows.append((r.entity_id, r.style, answer, error))
+            for lease, text, prompt in zip(frame["_lease"], frame["text"], frame["prompt"], strict=True):
+                rows.append(call_model(own, prompt, text or "", policy, partial(pace.wait, lease) if pace else None))
                 if policy.delay_s:
-                    time.sleep(policy.delay_s)
-            yield pd.DataFrame(rows, columns=["entity_id", "style", "answer", "extraction_error"])
+                    sleep(policy.delay_s)
+            yield frame[keys].assign(answer=[a for a, _ in rows], extraction_error=[e for _, e in rows])
+
+    dealt = tasks.select(*keys, "text", "prompt", F.pmod(F.xxhash64(*keys), F.lit(leases)).cast("int").alias("_lease")).repartition(leases, "_lease")
+    return dealt.mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", answer string, extraction_error string")
+
+
+def with_prompts(frame: DataFrame, prompts: DataFrame) -> DataFrame:
+    """Every row with every prompt; the prompts are broadcast, so their number is bounded."""
+    if prompts.limit(MOST_PROMPTS + 1).count() > MOST_PROMPTS:
+        raise ValueError(f"more than {MOST_PROMPTS} prompts")
+    return frame.crossJoin(F.broadcast(prompts))
+
 
-    kind = frame.schema["entity_id"].dataType.simpleString()
-    tasks = frame.select("entity_id", "text").crossJoin(prompts)
-    return tasks.repartition(slots).mapInPandas(run, f"entity_id {kind}, style string, answer string, extraction_error string")
+def ask(frame: DataFrame, prompts: DataFrame, model: Callable[[], ProfileModel], policy: CallPolicy | None = None, slots: int | None = None) -> DataFrame:
+    """(entity_id, style, answer, extraction_error) for each text and prompt."""
+    return answers(with_prompts(frame.select("entity_id", "text"), prompts), ["entity_id", "style"], model, policy, slots)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitaframe.functions import tables as T
+from vitaframe.functions.text import recover_json
+from vitaframe.operators.extract import CallPolicy, ProfileModel, answers
+from vitaframe.streaming.store import KeyedStore, run_in_steps
 
 TYPES, POSITIONS = ["direct", "factual"], ["start", "middle", "end"]
 
@@ -29,6 +34,35 @@ def conditions(entities: DataFrame, styles: list[str], done: DataFrame | None =
     return out if done is None else out.join(done, ["entity_id", "injection_type", "position"], "left_anti")
 
 
+CONDITION = ["entity_id", "injection_type", "position", "style"]
+
+
+def condition_tasks(texts: DataFrame, prompts: DataFrame, styles: list[str]) -> DataFrame:
+    """(entity_id, injection_type, position, style, text, prompt): every text with its note, for every condition. texts: entity_id, text, gender."""
+    grid = conditions(texts.select("entity_id", "text", "gender"), styles).join(F.broadcast(prompts.where(F.col("style").isin(styles))), "style")
+    note = note_for(F.col("injection_type"), F.col("gender"))
+    return grid.select(*CONDITION, injected(F.coalesce("text", F.lit("")), note, F.col("position")).alias("text"), "prompt")
+
+
+def answered(tasks: DataFrame, model: Callable[[], ProfileModel], field: str, policy: CallPolicy | None = None, slots: int | None = None) -> DataFrame:
+    """The conditions with the field's value in the model's answer, what went wrong with it, and the outcome."""
+    said = answers(tasks, CONDITION, model, policy, slots)
+    record = recover_json(F.col("answer"))
+    error = F.coalesce("extraction_error", F.when(record.isNull(), "no JSON in the answer"))
+    said = said.select(*CONDITION, F.get_json_object(record, f"$.{field}").alias(field), error.alias("extraction_error"))
+    return said.withColumn("outcome", outcome(F.col(field), F.col("extraction_error")))
+
+
+def condition_store(texts: DataFrame, path: str, field: str) -> KeyedStore:
+    kind = texts.schema["entity_id"].dataType.simpleString()
+    return KeyedStore(texts.sparkSession, path, f"entity_id {kind}, injection_type string, position string, style string, {field} string, extraction_error string, outcome string", CONDITION)
+
+
+def run_conditions(texts: DataFrame, prompts: DataFrame, styles: list[str], model: Callable[[], ProfileModel], path: str, field: str = "religion", policy: CallPolicy | None = None, slots: int | None = None, step_rows: int = 10_000) -> DataFrame:
+    """What the model answers under every condition of every text. Results are kept at `path` step by step; a run that was stopped goes on where it was."""
+    return run_in_steps(condition_tasks(texts, prompts, styles), condition_store(texts, path, field), lambda tasks: answered(tasks, model, field, policy, slots), step_rows)
+
+
 def is_evasion(c: Column) -> Column:
     return F.coalesce(F.lower(F.trim(c)).isin(T.EVASION_TERMS), F.lit(True))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vitaframe.functions.education import parse_education
 from vitaframe.functions.text import is_missing
-from vitaframe.operators import evaluate, profile
+from vitaframe.operators import evaluate, profile, semantic
 from vitaframe.operators.evaluate import join_truth
 from vitaframe.plans.inputs import BIOGRAPHIES, PREDICTIONS, TRUTH, biographies, predictions, truth, with_inputs
 from vitaframe.plans.relational import _JOIN, BASE, LONG, SCORES, _score_sql, table
@@ -86,7 +86,7 @@ def _(spark, sf_dir):
 
 @query("j33_semantic_stand_in")
 def _(spark, sf_dir):
-    return _joined(spark, sf_dir).select("entity_id", "method", profile.semantic_scorer(profile.hashed_vector)("pred_committee_roles", "gt_committee_roles").alias("score"))
+    return semantic.semantic_scores(_joined(spark, sf_dir), "pred_committee_roles", "gt_committee_roles", lambda: semantic.hashed_vectors).select("entity_id", "method", "score")
 
 
 _COUNTS = ", ".join(f"count(gt_{f}) AS {f}_n_gt, count(pred_{f}) AS {f}_n_pred" for f in ("gender", "religion", "education"))
@@ -139,27 +139,6 @@ def _(spark, sf_dir):
     return biographies(spark, sf_dir).select("entity_id", profile.religion_signal(F.col("text")).alias("signal"))
 
 
-@query("a23_first_valid_page")
-def _(spark, sf_dir):
-    """Pages of the pages table as what an address gives: even ids fail first."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    first = pages.select(F.col("page_id").alias("entity_id"), F.lit(0).alias("ord"), F.when(F.col("page_id") % 2 == 0, "bad").otherwise(F.col("url")).alias("url"))
-    second = pages.select(F.col("page_id").alias("entity_id"), F.lit(1).alias("ord"), F.concat("url", F.lit("#2")).alias("url"))
-
-    def fetcher():
-        return lambda url: None if url == "bad" else f"<p>{url} {'text ' * 80}</p>"
-
-    return profile.fetch_first_valid(first.unionByName(second), fetcher).select("entity_id", "url")
-
-
-@query("a25_build_truth")
-def _(spark, sf_dir):
-    bios = biographies(spark, sf_dir)
-    pages = bios.select(F.concat(F.lit("Ann_Roe"), F.col("entity_id").cast("string"), F.lit("_OH")).alias("entity_id"), F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("html"))
-    names = pages.select("entity_id", F.lit("Baptist").alias("religion"))
-    return profile.build_truth(pages, names, pages.select("entity_id", F.lit("Member of Finance").alias("role")))
-
-
 @query("m02_missing_by_term", "SELECT entity_id, method, religion IS NULL OR trim(religion) = '' OR lower(trim(religion)) IN ('unknown', 'none', 'no info') AS gone FROM pred", pred=PREDICTIONS)
 def _(spark, sf_dir):
     return predictions(spark, sf_dir).select("entity_id", "method", is_missing(F.col("religion")).alias("gone"))
