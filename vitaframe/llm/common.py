@@ -148,6 +148,14 @@ class Rolling:
         return (prefix[start + length] - prefix[start]) * self.down[k][start]
 
 
+def arrow_type(kind: str) -> pa.DataType:
+    """The Arrow type of a column of ids, by its name in Spark."""
+    if found := re.fullmatch(r"decimal\((\d+),(\d+)\)", kind):
+        return pa.decimal128(int(found[1]), int(found[2]))
+    plain = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64(), "boolean": pa.bool_(), "date": pa.date32(), "binary": pa.binary()}
+    return plain.get(kind, pa.string())
+
+
 def arrow_map(frame: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow over batches that have rows."""
 

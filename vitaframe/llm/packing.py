@@ -23,12 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitaframe.llm.common import arrow_map, free_name, prepare
+from vitaframe.llm.common import arrow_map, arrow_type, free_name, prepare
 
 SEQUENCE = 2048
 END_ID = 0
 #: Characters for which the two libraries split words alike; texts with others go to `tokenizers`.
 _RARE = re.compile("[^\x00-ɏ‐-‧‰-⁞€]")
+#: Fixed value: how byte-level vocabularies with their default pattern split words.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Longer texts go to `tokenizers` too, whose splitting has no recursion limit.
 _LONG = 1_000_000
 
@@ -51,15 +53,23 @@ class ByteEncoder:
         self.added = re.compile("|".join(map(re.escape, sorted(special))) or "(?!)")
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.fast = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.fast = None
+        if plain_split(spec):
+            self.fast = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if len(text) > _LONG or not text.isascii() and _RARE.search(text) or self.added.search(text):
+        if self.fast is None or len(text) > _LONG or not text.isascii() and _RARE.search(text) or self.added.search(text):
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
 
+def plain_split(spec: dict) -> bool:
+    """Whether a vocabulary file splits words by SPLIT and nothing else: other files go to `tokenizers` with every text."""
+    split = spec.get("pre_tokenizer") or {}
+    own = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    return bool(own) and not spec.get("normalizer") and spec["model"].get("type", "BPE") == "BPE" and not spec["model"].get("ignore_merges")
+
+
 def _byte_letters() -> dict[str, int]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -68,13 +78,17 @@ def _byte_letters() -> dict[str, int]:
 
 
 def tokenize(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids], part, rank): pieces, each with its rank among those of its length in the task."""
+    """(doc_id, piece, start, length, ids_crc32, part, rank[, ids]): pieces, each with its rank among those of its length in the task.
+
+    ids: two bytes an id where the vocabulary allows it, else four.
+    """
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         encode = ByteEncoder(path or public_tokenizers.path("byte_bpe_50k.json"))
+        width = "<u2" if encode.slow.get_vocab_size() <= 1 << 16 else "<u4"
         part, seen = TaskContext.get().partitionId(), [0] * (size + 1)
         for batch in batches:
             rows: list[tuple] = []
@@ -83,14 +97,14 @@ def tokenize(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, wit
                 count = -(-len(ids) // size)
                 edges = [0, *range(len(ids) - size * (count - 1), len(ids) + 1, size)]
                 for piece, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                    rows.append((doc, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()), part, seen[b - a], *([ids[a:b].astype("i4")] if with_ids else [])))
+                    rows.append((doc, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()), part, seen[b - a], *([ids[a:b].astype(width).tobytes()] if with_ids else [])))
                     seen[b - a] += 1
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", *(["ids"] if with_ids else [])]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    types = [pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
-    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long{', ids array<int>' if with_ids else ''}")
+    types = [arrow_type(kind), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *([pa.binary()] if with_ids else [])]
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long{', ids binary' if with_ids else ''}")
 
 
 def best_two_fit(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[dict[int, int], int]]:
@@ -177,7 +191,10 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, with_id
                 nth = rank[at] - row[:, 0]
                 sequence[at] = row[:, 1] + nth // row[:, 2]
                 offset[at] = row[:, 3] + nth % row[:, 2] * n
-            kept = [batch.column(c) for c in columns]
+            kept = [batch.column(c) for c in columns[:5]]
+            if with_ids:
+                flat = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4") for x, n in zip(batch.column("ids").to_pylist(), length.tolist(), strict=True)]
+                kept.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype("i4")), pa.array(np.concatenate(flat).astype("i4"))))
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], [*columns, *names])
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]

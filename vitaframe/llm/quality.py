@@ -9,8 +9,8 @@ before it.
 Grades may be any numbers, whole or not, up to MAX_GRADES of them (more raise an error). Fitting takes at most `sample` rows per
 grade, those with the smallest digests, and `bound` rows in all: with more grades than bound / sample, each
 gives as many rows as that leaves it (one at least). Defined results: empty and null texts have x = 0, so they get the
-thresholds' own probabilities; null grades and documents with disagreeing grades take no part in fitting;
-documents that repeat are fitted once a row; grades of one kind only, or none, give the constant grade (0
+thresholds' own probabilities; grades that are null, NaN or infinite and documents with disagreeing grades take no part
+in fitting; a labelled id with several texts is fitted with the smallest of them; grades of one kind only, or none, give the constant grade (0
 for none) and keep everything; extra columns pass through `select_quality`.
 """
 
@@ -128,7 +128,9 @@ def fit_ordinal(codes: list[np.ndarray], grades: np.ndarray, steps: int = STEPS)
 
 def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", sample: int = SAMPLE, bound: int = BOUND) -> Ordinal:
     prepare(docs.sparkSession)
-    known = labels.where(F.col(grade).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(grade).alias("grade"), F.max(grade).alias("most")).where("grade = most").select("doc_id", F.col("grade").cast("double").alias("grade"))
+    value = F.col(grade).cast("double")
+    known = labels.select("doc_id", value.alias("grade")).where("doc_id is not null and not isnan(grade) and abs(grade) < double('inf')")
+    known = known.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.max("grade").alias("most")).where("grade = most").select("doc_id", "grade")
     known = known.checkpoint()
     kinds = known.select("grade").distinct().count()
     if kinds > MAX_GRADES:
@@ -136,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", sample: int
     each = min(sample, max(1, bound // max(kinds, 1)))
     nearest = Window.partitionBy("grade").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
     chosen = known.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= each).drop("nth")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `bound` rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))  # one an id, at most `bound` rows
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder()

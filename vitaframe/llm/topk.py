@@ -1,16 +1,19 @@
 """Exact top-k inner products with a KD-tree per shard.
 
-Vectors are dealt to shards by a hash of their row. A shard's tree splits at the median of the widest
-dimension and keeps tight boxes. For a query, boxes are visited best first by the largest inner product
-that a point of the box could have, until that cannot beat the k-th score so far. Queries are a table of
-blocks. Each block is first searched in one shard; the k-th scores found there go with it to all other
-shards, which return only rows that reach them. The best k of a query then meet. A task holds one tree and
-one block; queries never pass the driver.
+Vectors are dealt to cells by median splits of a bounded sample, and cells that turn out large are dealt on by a
+hash, so a shard's vectors lie near each other and its box is tight. A shard's tree splits at the median of the
+widest dimension and keeps tight boxes. For a query, boxes are visited best first by the largest inner product
+that a point of the box could have, until that cannot beat the k-th score so far.
+
+Queries are a table of blocks, one or more for each cell. Each block is first searched in the shard where its
+queries lie. Then the shards' outermost boxes are held against the blocks, in ROUNDS rounds: a query goes on to a
+shard only if the shard's box could reach its k-th score, and after each round the k-th scores found go on to the
+next. The best k of a query then meet. A task holds one tree and one block; queries never pass the driver.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part;
 queries meet vectors of their own dimension only; equal scores rank by smaller vec_id; a query finds
 every row with another vec_id; rows with a null vec_id take no part; repeated query rows count once;
-scores beyond 64 bits saturate, and then tie.
+scores beyond 64 bits saturate, and then tie; a query without any row in its first shard has no k-th score yet.
 """
 
 from __future__ import annotations
@@ -32,6 +35,10 @@ SHARD_ROWS = 16_384
 SHARD_BYTES = 32 << 20
 QUERY_BLOCK = 4096
 LIMIT = 2**63
+#: Vectors and bytes of the sample that places the splits; cells that it is split to at most; shards that a cell may be dealt on to.
+SAMPLE_ROWS, SAMPLE_BYTES, CELLS, DEALT = 32_768, 16 << 20, 2048, 1 << 20
+#: Boxes that are held against a block at once, and rounds in which k-th scores go on.
+BOXES, ROUNDS = 1024, 3
 
 
 def integers(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -118,29 +125,79 @@ def _vectors(table: pa.Table) -> tuple[list[int], list[np.ndarray]]:
     return table.column("vec_id").to_pylist(), [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def forest(vectors: DataFrame, shards: int, largest: float) -> DataFrame:
-    """(shard, dim, tree): a KD-tree for each shard and dimension."""
+def split_cells(points: np.ndarray, cells: int) -> list[tuple[int, float, int, int]]:
+    """Median splits of a sample to so many cells: (dimension, value, node for up to the value, node for more); a leaf is (-1, 0, cell, 0)."""
+    nodes: list[tuple[int, float, int, int]] = [(-1, 0.0, 0, 0)]
+    todo, made = [(0, np.arange(len(points)))], 1
+    while todo and made < cells:
+        node, rows = todo.pop(0)
+        spread = np.ptp(points[rows], axis=0) if len(rows) > 1 else np.zeros(1)
+        wide = int(np.argmax(spread))
+        if not spread[wide] > 0:
+            continue
+        value = np.partition(points[rows, wide], (len(rows) - 1) // 2)[(len(rows) - 1) // 2]
+        more = points[rows, wide] > value
+        if not more.any():  # over half lie at the highest value: split below it
+            value = points[rows, wide][points[rows, wide] < value].max()
+            more = points[rows, wide] > value
+        nodes[node] = (wide, float(value), len(nodes), len(nodes) + 1)
+        todo += [(len(nodes), rows[~more]), (len(nodes) + 1, rows[more])]
+        nodes += [(-1, 0.0, nodes[node][2], 0), (-1, 0.0, nodes[node][3], 0)]
+        made += 1
+    return nodes
+
+
+def with_cells(vectors: DataFrame, splits: dict[int, list]) -> DataFrame:
+    """vec_id, v, dim and the cell of each vector; dimensions that the sample lacks have one cell."""
+    held = vectors.sparkSession.sparkContext.broadcast(splits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = {dim: [np.array(x) for x in zip(*nodes, strict=True)] for dim, nodes in held.value.items()}
+        for batch in batches:
+            ids, points = _vectors(pa.Table.from_batches([batch]))
+            dims, cells = np.array([len(p) for p in points]), np.zeros(len(points), "i8")
+            for dim in np.unique(dims).tolist():
+                if dim in tables:
+                    at = np.flatnonzero(dims == dim)
+                    mine, node = np.array([points[k] for k in at]), np.zeros(len(at), "i8")
+                    wide, value, less, more = tables[dim]
+                    while (inner := np.flatnonzero(wide[node] >= 0)).size:
+                        n = node[inner]
+                        node[inner] = np.where(mine[inner, wide[n]] > value[n], more[n], less[n])
+                    cells[at] = node
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "v", "dim")), pa.array(cells)], ["vec_id", "v", "dim", "cell"])
+
+    return arrow_map(vectors.select("vec_id", "v", "dim"), run, "vec_id long, v array<double>, dim int, cell long")
+
+
+def dealt_on(vectors: DataFrame, rows: int, name: str) -> DataFrame:
+    """The vectors with a number for each cell and at most about `rows` of its vectors."""
+    parts = vectors.groupBy("dim", "cell").agg(F.ceil(F.count("*") / rows).alias("parts")).where("parts > 1")  # cells, of which there are CELLS for a dimension
+    many = vectors.join(F.broadcast(parts), ["dim", "cell"], "left")
+    part = F.pmod(F.xxhash64("vec_id", F.col("v")), F.least(F.coalesce("parts", F.lit(1)), F.lit(DEALT)))
+    return many.withColumn(name, F.col("cell") * DEALT + part).drop("parts", "cell")
+
+
+def forest(vectors: DataFrame, largest: float) -> DataFrame:
+    """(shard, dim, tree, box): a KD-tree for each shard and dimension, and the box around all of it. vectors: with a shard."""
 
     def build(key, table):
         ids, points = _vectors(table)
         tree = Tree(np.array(ids), _matrix(points, largest))
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([key[1].as_py()], pa.int32()), "tree": pa.array([pickle.dumps(vars(tree))], pa.binary())})
+        box = np.concatenate((np.min(points, 0), np.max(points, 0)))
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([key[1].as_py()], pa.int32()), "tree": pa.array([pickle.dumps(vars(tree))], pa.binary()), "box": pa.array([box.tobytes()], pa.binary())})
 
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
-    return dealt.groupBy("shard", "dim").applyInArrow(build, "shard long, dim int, tree binary").checkpoint()
+    return vectors.groupBy("shard", "dim").applyInArrow(build, "shard long, dim int, tree binary, box binary").checkpoint()
 
 
 def query_blocks(queries: DataFrame) -> DataFrame:
-    """(block, dim, asked): QUERY_BLOCK queries or so in a row."""
+    """(block, dim, asked): QUERY_BLOCK queries of a cell or so in a row. queries: with a block."""
 
     def build(key, table):
         ids, points = _vectors(table.sort_by("vec_id"))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([key[1].as_py()], pa.int32()), "asked": pa.array([pickle.dumps((ids, points))], pa.binary())})
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([key[1].as_py()], pa.int32()), "asked": pa.array([pickle.dumps((ids, points, list(range(len(ids)))))], pa.binary())})
 
-    queries = queries.distinct()
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
-    return dealt.groupBy("block", "dim").applyInArrow(build, "block long, dim int, asked binary").checkpoint()
+    return queries.groupBy("block", "dim").applyInArrow(build, "block long, dim int, asked binary").checkpoint()
 
 
 def searched(cells: DataFrame, largest: float, k: int) -> DataFrame:
@@ -154,13 +211,13 @@ def searched(cells: DataFrame, largest: float, k: int) -> DataFrame:
                 if data != last:
                     last, tree = data, Tree.__new__(Tree)
                     vars(tree).update(pickle.loads(data))
-                ids, points = pickle.loads(batch.column("asked")[n].as_py())
+                ids, points, numbers = pickle.loads(batch.column("asked")[n].as_py())
                 least = batch.column("least")[n].as_py()
                 asked = _matrix(points, largest)
                 rows = []
-                for nth, q in enumerate(ids):
+                for q, nth, point, bound in zip(ids, numbers, asked, least or [None] * len(ids), strict=True):
                     best: list = []
-                    tree.search(q, asked[nth], best, k, least[nth] if least else None)
+                    tree.search(q, point, best, k, bound)
                     rows += [(q, nth, -v, s) for s, v in best]
                 block, dim = batch.column("block")[n].as_py(), batch.column("dim")[n].as_py()
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([dim] * len(rows), pa.int32()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(4))], ["block", "dim", "query_id", "nth", "vec_id", "score"])
@@ -168,27 +225,80 @@ def searched(cells: DataFrame, largest: float, k: int) -> DataFrame:
     return arrow_map(cells.select("block", "dim", "asked", "least", "tree"), run, "block long, dim int, query_id long, nth long, vec_id long, score long")
 
 
+def grouped_boxes(trees: DataFrame) -> DataFrame:
+    """(round, dim, boxes): the shards and their boxes, at most BOXES in a row."""
+
+    def build(key, table):
+        rows = table.num_rows
+        out = [pickle.dumps((table.column("shard").to_pylist()[a : a + BOXES], [np.frombuffer(x, "f8") for x in table.column("box").to_pylist()[a : a + BOXES]])) for a in range(0, rows, BOXES)]
+        return pa.table({"round": pa.array([key[0].as_py()] * len(out), pa.int32()), "dim": pa.array([key[1].as_py()] * len(out), pa.int32()), "boxes": pa.array(out, pa.binary())})
+
+    groups = -(-trees.count() // (BOXES * ROUNDS))
+    spread = F.pmod(F.xxhash64("shard"), F.lit(max(1, groups)))
+    dealt = trees.select("shard", "dim", "box", F.pmod("shard", F.lit(ROUNDS)).cast("int").alias("round"), spread.alias("spread"))
+    return dealt.groupBy("round", "dim", "spread").applyInArrow(lambda key, table: build(key[:2], table), "round int, dim int, boxes binary").checkpoint()
+
+
+def reaching(blocks: DataFrame, boxes: DataFrame, largest: float) -> DataFrame:
+    """(shard, block, dim, asked, least): of each block the queries whose k-th score a shard's box could reach. blocks: with kth, scores by query's number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                block, dim, home = (batch.column(c)[n].as_py() for c in ("block", "dim", "home"))
+                ids, points, numbers = pickle.loads(batch.column("asked")[n].as_py())
+                known = dict(batch.column("kth")[n].as_py() or ())
+                least = [known.get(k, -LIMIT) for k in numbers]
+                shards, corners = pickle.loads(batch.column("boxes")[n].as_py())
+                low, high = (_matrix([c[a : a + dim] for c in corners], largest) for a in (0, dim))
+                asked = _matrix(points, largest)
+                bounds = np.maximum(asked, 0) @ high.T + np.minimum(asked, 0) @ low.T
+                rows = []
+                for s, shard in enumerate(shards):
+                    if shard != home:
+                        go = [k for k, (x, y) in enumerate(zip(bounds[:, s].tolist(), least, strict=True)) if min(x, LIMIT - 1) >= y]
+                        if go:
+                            rows.append((shard, block, dim, pickle.dumps(([ids[k] for k in go], [points[k] for k in go], [numbers[k] for k in go])), [least[k] for k in go]))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["shard", "block", "dim", "asked", "least"])
+
+    return arrow_map(blocks.join(boxes, "dim").select("block", "dim", "home", "asked", "kth", "boxes"), run, "shard long, block long, dim int, asked binary, least array<long>")
+
+
+def splits_of(vectors: DataFrame, cells: int, dim: int) -> dict[int, list]:
+    """The splits of each dimension, from a sample of the vectors."""
+    rows = min(SAMPLE_ROWS, max(2, SAMPLE_BYTES // (8 * max(dim, 1))))
+    chosen = vectors.select("dim", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).toLocalIterator()
+    by_dim: dict[int, list] = {}
+    for row in chosen:
+        by_dim.setdefault(row.dim, []).append(row.v)
+    return {d: split_cells(np.array(v, "f8"), min(cells, CELLS, max(1, len(v) // 8))) for d, v in by_dim.items()}
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score) of integers() frames."""
     spark = vectors.sparkSession
     prepare(spark)
-    vectors, queries = (x.withColumn("dim", F.size("v")) for x in (vectors, queries))
+    vectors, queries = (x.withColumn("dim", F.size("v")) for x in (vectors, queries.distinct()))
     facts = vectors.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("most"), F.max("dim").alias("dim")).first()
     largest = (facts.most or 0.0) ** 2 * (facts.dim or 1)
     rows = max(LEAF, min(SHARD_ROWS, SHARD_BYTES // (8 * max(facts.dim or 1, 1))))
-    shards = max(1, -(-facts.n // rows))
-    trees, blocks = forest(vectors, shards, largest), query_blocks(queries)
-    # A first shard for each block gives every query a k-th score, which all other shards have to beat.
-    home = F.pmod("block", F.lit(shards))
-    seeds = searched(blocks.select("*", home.alias("shard"), F.lit(None).cast("array<long>").alias("least")).join(trees, ["shard", "dim"]), largest, k).checkpoint()
+    shards = -(-facts.n // rows)
+    splits = splits_of(vectors, shards, facts.dim) if shards > 1 else {}
+    trees = forest(dealt_on(with_cells(vectors, splits), rows, "shard"), largest)
+    blocks = query_blocks(dealt_on(with_cells(queries, splits), QUERY_BLOCK, "block"))
+    # The shard where its queries lie gives a block's queries their first k-th scores.
+    blocks = blocks.withColumn("home", F.floor(F.col("block") / DEALT) * DEALT)
     order = Window.partitionBy("block", "dim", "nth").orderBy(F.desc("score"), "vec_id")
-    kth = seeds.groupBy("block", "dim", "nth").agg(F.when(F.count("*") == k, F.min("score")).otherwise(F.lit(-LIMIT)).alias("least"))
-    sizes = F.array_sort(F.collect_list(F.struct("nth", "least")))  # a block's queries
-    bounds = kth.groupBy("block", "dim").agg(F.transform(sizes, lambda x: x["least"]).alias("least"), F.count("*").alias("found"), (F.max("nth") + 1).alias("of"))
-    bounds = bounds.select("block", "dim", F.when(F.col("found") == F.col("of"), F.col("least")).alias("least"))
-    others = blocks.join(bounds, ["block", "dim"], "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).where(F.col("shard") != home)
-    out = seeds.unionByName(searched(others.join(trees, ["shard", "dim"]), largest, k))
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    found = searched(blocks.withColumn("least", F.lit(None).cast("array<long>")).withColumnRenamed("home", "shard").join(trees, ["shard", "dim"]), largest, k).checkpoint()
+    boxes = grouped_boxes(trees) if shards > 1 else None
+    for nth in range(ROUNDS) if boxes is not None else ():
+        kth = found.groupBy("block", "dim", "nth").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
+        kth = kth.groupBy("block", "dim").agg(F.map_from_entries(F.collect_list(F.struct("nth", "least"))).alias("kth"))  # a block's queries
+        wanted = reaching(blocks.join(kth, ["block", "dim"], "left"), boxes.where(F.col("round") == nth), largest)
+        more = found.unionByName(searched(wanted.join(trees, ["shard", "dim"]), largest, k))
+        found = more.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank").checkpoint()
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def report(embeddings: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
