@@ -156,3 +156,16 @@ def test_other_vocabularies_are_left_to_their_own_split(tmp_path):
     (tmp_path / "other.json").write_text(json.dumps(spec))
     other = packing.ByteEncoder(str(tmp_path / "other.json"))
     assert other.fast is None and other("words here") == Tokenizer.from_file(str(tmp_path / "other.json")).encode("words here", add_special_tokens=False).ids
+
+
+def test_packs_are_merged_in_a_tree(spark, monkeypatch):
+    """More parts than one task merges give the same table as one."""
+    from vitaframe.llm import common, suffix_dedup
+
+    r = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(80))
+    rows = [(k, " ".join(f"w{r.randrange(3000)}" for _ in range(70)) + (" " + passage if k % 5 == 0 else "")) for k in range(60)]
+    one, many = (spark.createDataFrame(rows, "doc_id long, text string").repartition(n) for n in (1, 9))
+    whole = suffix_dedup.repeated_cells(one, 17)
+    monkeypatch.setattr(common, "MERGED", 2)
+    assert (suffix_dedup.repeated_cells(many, 17) == whole).all() and whole.any()

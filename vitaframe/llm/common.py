@@ -85,6 +85,21 @@ def spread_join(many: DataFrame, few: DataFrame, on: list[str], counts: DataFram
     return many.join(few, [*on, "hot_part"], how).drop("hot_part")
 
 
+#: Packs that one task merges.
+MERGED = 64
+
+
+def merged_in_tree(packs: DataFrame, keys: list[str], parts: int, merge, schema: str) -> DataFrame:
+    """Packs of one key merged MERGED at a time, so that no task holds more however many tasks have packed.
+
+    packs: with a column `part` below `parts`; merge: of a group's key (keys, then part) and table, one row with the same columns.
+    """
+    while parts > 1:
+        packs = packs.withColumn("part", F.floor(F.col("part") / MERGED).cast("int")).groupBy(*keys, "part").applyInArrow(merge, schema)
+        parts = -(-parts // MERGED)
+    return packs
+
+
 def plain_words(text: bytes) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+`."""
     return text.split()

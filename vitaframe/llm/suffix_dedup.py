@@ -42,7 +42,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitaframe.llm.common import Rolling, arrow_map, byte_rows, free_name, id_kind, known_id, mix, prepare, quoted, replace_text, spread_join
+from vitaframe.llm.common import Rolling, arrow_map, byte_rows, free_name, id_kind, known_id, merged_in_tree, mix, prepare, quoted, replace_text, spread_join
 from vitaframe.llm.decontaminate import merged
 
 WINDOW = 100
@@ -52,8 +52,6 @@ MAX_CELL_BITS = 28
 CELL_BLOCK_BITS = 16
 #: Bytes hashed at once; longer texts are read in pieces that overlap by a window less one byte.
 CHUNK = 1 << 18
-#: Packs of cells that one task merges.
-MERGED = 64
 #: Different runs under one key that a suffix array takes; with more the key is cut further.
 LIMIT = 4000
 #: Bytes that a lot of whole keys has at least, if there are as many.
@@ -178,10 +176,6 @@ def bit_table(packs: DataFrame, parts: int, bits: int) -> np.ndarray:
         cells = np.flatnonzero(total)
         return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([_packed(cells, total[cells] > 1)], pa.binary())], ["block", "part", "pack"])
 
-    while parts > 1:  # MERGED at a time
-        packs = packs.withColumn("part", F.floor(F.col("part") / MERGED).cast("int")).groupBy("block", "part").applyInArrow(merge, _PACKS)
-        parts = -(-parts // MERGED)
-
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -192,6 +186,7 @@ def bit_table(packs: DataFrame, parts: int, bits: int) -> np.ndarray:
                 out.append(zlib.compress(np.packbits(marks).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(out, pa.binary())], ["block", "marks"])
 
+    packs = merged_in_tree(packs, ["block"], parts, merge, _PACKS)
     out = np.zeros((1 << (bits - CELL_BLOCK_BITS), (1 << CELL_BLOCK_BITS) // 8), "u1")
     for row in arrow_map(packs.select("block", "pack"), marked, "block int, marks binary").collect():  # 2^bits bits
         out[row.block] = np.frombuffer(zlib.decompress(bytes(row.marks)), "u1")
@@ -469,8 +464,9 @@ def narrower(rows: DataFrame, width: int) -> DataFrame:
 def kinds_of(runs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, run, first_doc, times, kinds) of keys that come up twice or more; kinds: different runs under the keys."""
     firsts = runs.groupBy(*keys, "run").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("times"))
-    kinds = firsts.groupBy(*keys).agg(F.count("*").alias("kinds"), F.sum("times").alias("uses"))
-    return firsts.join(kinds.where("uses > 1").drop("uses"), keys).checkpoint()
+    # With the same columns on both sides of the join these read one exchange.
+    kinds = firsts.groupBy(*keys).agg(F.count("*").alias("kinds"), F.sum("times").alias("uses"), F.max("first_doc").alias("last")).where("uses > 1 and last is not null")
+    return firsts.where("first_doc is not null").join(kinds.drop("uses", "last"), keys).checkpoint()
 
 
 def span(start: str = "start") -> list:
