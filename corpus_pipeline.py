@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vitaframe.llm import decontaminate, near_dup, packing, quality, substring_dedup
-from vitaframe.llm.common import read, shared_path
+from vitaframe.llm.common import read, remove_folder, shared_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -33,8 +33,8 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences."""
-    return packing.pack(docs)
+    """Packs the documents' tokens into sequences: a row for each piece, with its token ids and its place."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -50,10 +50,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is written as Parquet and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over documents; each result but the last is written as Parquet and read again.
+
+    A stage's folder goes when the next one's is complete; the last folder stays, as the result reads it.
+    """
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
