@@ -13,8 +13,8 @@ from vitaframe.functions.education import normalize_degree, parse_education, rep
 from vitaframe.functions.text import dedupe_ignoring_case, readable_text
 from vitaframe.operators import evaluate, extract, quality, robustness
 from vitaframe.operators.evaluate import join_truth, long_scores, summary_long, with_scores
-from vitaframe.plans.inputs import BIOGRAPHIES, METHODS, PREDICTIONS, TRUTH, biographies, predictions, truth, with_inputs
-from vitaframe.plans.relational import _ENT, _JOIN, _PARTS, BASE, LONG, SCORES, SUMMARY, _entities, table
+from vitaframe.plans.inputs import BIOGRAPHIES, METHODS, PREDICTIONS, TRUTH, biographies, portable, predictions, truth, with_inputs
+from vitaframe.plans.relational import _ENT, _JOIN, _PARTS, BASE, LONG, SCORES, SUMMARY, _entities, _score_sql, table
 from vitaframe.streaming.resume import pending
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -241,15 +241,22 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(T.EMAIL)).cast("long").alias("emails"), F.regexp_count("text", F.lit(T.PHONE)).cast("long").alias("phones"))
 
 
-@query("j19_two_committee_scores", "SELECT entity_id, method, committee_roles_score >= 0 AS scored FROM scored", **SCORES)
+@query(
+    "j19_two_committee_scores",
+    "SELECT entity_id, method, " + ", ".join(f"(SELECT {_score_sql(q)} FROM (SELECT pred_committee_roles AS p, gt_committee_roles AS t)) AS {n}" for q, n in (("j18_committee_score", "with_sets"), ("j13_flattened_f1", "words_only"))) + f" FROM ({_JOIN})",
+    **BASE,
+)
 def _(spark, sf_dir):
-    both = _joined(spark, sf_dir).select("entity_id", "method", scores.committee_score(F.col("pred_committee_roles"), F.col("gt_committee_roles")).alias("c"))
-    return both.select("entity_id", "method", (F.col("c") >= 0).alias("scored"))
+    """The score of model answers beside the one of baselines, which differ wherever the sets of roles do."""
+    pred, gt = F.col("pred_committee_roles"), F.col("gt_committee_roles")
+    return _joined(spark, sf_dir).select("entity_id", "method", scores.committee_score(pred, gt).alias("with_sets"), scores.flattened_f1(pred, gt).alias("words_only"))
 
 
-@query("k09_header_label", "SELECT entity_id, text AS value FROM bio", bio=BIOGRAPHIES)
+@query("k09_header_label", "SELECT entity_id, CASE entity_id % 4 WHEN 0 THEN 'School ' || id WHEN 1 THEN 'Own ' || id WHEN 2 THEN 'After ' || id END AS value FROM (SELECT entity_id, CAST(entity_id AS STRING) AS id FROM bio)", bio=BIOGRAPHIES)
 def _(spark, sf_dir):
-    return biographies(spark, sf_dir).select("entity_id", extract.labelled_value(F.concat(F.lit("Intro\nEducation and career\n\n"), "text"), ["education"], header_too=True).alias("value"))
+    """A header line with its value below, a label with its own, a label with its value below, and neither."""
+    text = F.expr(r"CASE entity_id % 4 WHEN 0 THEN 'Intro\nEducation and career\n\nSchool ' || entity_id || '\nx' WHEN 1 THEN 'Intro\n education : Own ' || entity_id || '\nNext' WHEN 2 THEN 'education:\n \n\nAfter ' || entity_id ELSE 'An education ' || entity_id || '\nNext' END")
+    return biographies(spark, sf_dir).select("entity_id", extract.labelled_value(text, ["education"], header_too=True).alias("value"))
 
 
 @query("k10_dispatch")
@@ -258,10 +265,18 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.when(is_html, readable_text(F.col("html"))).otherwise(F.col("html")).alias("text"), is_html.alias("is_html"))
 
 
-@query("k18_roles_near", "SELECT entity_id, 'Member of Finance Committee' AS role FROM bio", bio=BIOGRAPHIES)
+_ROLE_TEXTS = f"SELECT entity_id, replace(text, 'the member is a Member of', CASE entity_id % 4 WHEN 0 THEN 'they are Chair of' WHEN 1 THEN 'they are Ranking Member of' WHEN 2 THEN 'they are a MEMBER of' ELSE 'they sit on' END) AS text FROM ({BIOGRAPHIES}) b"
+
+
+@query(
+    "k18_roles_near",
+    "SELECT entity_id, CASE entity_id % 4 WHEN 0 THEN 'Chair' WHEN 1 THEN 'Ranking Member' WHEN 2 THEN 'MEMBER' ELSE 'Member' END || ' of Finance Committee' || CASE WHEN entity_id % 2 = 0 THEN '|' || CASE entity_id % 4 WHEN 0 THEN 'Chair' ELSE 'MEMBER' END || ' of Budget Committee' ELSE '|Budget Committee' END AS roles FROM role_texts",
+    role_texts=_ROLE_TEXTS,
+)
 def _(spark, sf_dir):
-    role = F.get(extract.roles_near(F.col("text"), F.array(F.lit("Finance Committee"), F.lit("Elm"))), F.lit(0))
-    return biographies(spark, sf_dir).select("entity_id", F.concat(F.initcap(F.split_part(role, F.lit(" of "), F.lit(1))), F.lit(" of "), F.split_part(role, F.lit(" of "), F.lit(2))).alias("role"))
+    """The first role word around each committee; a committee that the text doesn't name stands alone."""
+    roles = extract.roles_near(F.col("text"), F.array(F.lit("Finance Committee"), F.lit("Elm"), F.lit("Budget Committee")))
+    return portable(spark, sf_dir, _ROLE_TEXTS).select("entity_id", F.array_join(roles, "|").alias("roles"))
 
 
 @query("k23_entity_buckets", f"SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(entities, lambda e: e.label = 'PERSON'), lambda e: e.text)))[1:5], '|'), '') AS persons FROM ({_ENT})")
@@ -286,17 +301,22 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", udfs.html_udf(alma_mater)(box).alias("education"))
 
 
-@query("k34_degree_lists", "SELECT entity_id, 3 AS n, 'JD' AS last FROM bio", bio=BIOGRAPHIES)
+@query(
+    "k34_degree_lists",
+    "SELECT entity_id, CASE entity_id % 4 WHEN 0 THEN 'BA/Oak College|MA/Oak College|JD/Elm ' || CAST(entity_id AS STRING) WHEN 1 THEN 'PhD/School ' || CAST(entity_id AS STRING) WHEN 2 THEN '' ELSE 'BS/A|MD/B' END AS entries FROM bio",
+    bio=BIOGRAPHIES,
+)
 def _(spark, sf_dir):
-    entries = extract.degree_list_entries(F.concat(F.lit("Oak College (B.A., M.A.); Elm "), F.col("entity_id").cast("string"), F.lit(" (J.D.)")))
-    return biographies(spark, sf_dir).select("entity_id", F.size(entries).alias("n"), F.element_at(entries, -1)["degree"].alias("last"))
+    text = F.expr("CASE entity_id % 4 WHEN 0 THEN 'Oak College (B.A., M.A.); Elm ' || entity_id || ' (J.D.)' WHEN 1 THEN 'School ' || entity_id || ' ( Ph.D. )' WHEN 2 THEN 'No degree ' || entity_id ELSE 'A (B.S.), B (M.D.)' END")
+    shown = F.transform(extract.degree_list_entries(text), lambda e: F.concat(F.trim(e["degree"]), F.lit("/"), e["institution"]))
+    return biographies(spark, sf_dir).select("entity_id", F.array_join(shown, "|").alias("entries"))
 
 
-@query("k36_degree_offsets", "SELECT entity_id, CAST(instr(text, CASE entity_id % 3 WHEN 0 THEN 'B.S.' ELSE 'J.D.' END) AS INT) - 1 AS start FROM bio WHERE entity_id % 3 IN (0, 1)", bio=BIOGRAPHIES)
+@query("k36_degree_offsets", "SELECT entity_id, CASE entity_id % 3 WHEN 0 THEN CAST(instr(text, 'B.S.') AS INT) - 1 WHEN 1 THEN CAST(instr(text, 'J.D.') AS INT) - 1 END AS start FROM bio", bio=BIOGRAPHIES)
 def _(spark, sf_dir):
     from vitaframe.functions.text import match_offsets
 
-    return biographies(spark, sf_dir).where("entity_id % 3 in (0, 1)").select("entity_id", match_offsets(F.col("text"), T.DEGREE)[0]["start"].alias("start"))
+    return biographies(spark, sf_dir).select("entity_id", F.get(match_offsets(F.col("text"), T.DEGREE), F.lit(0))["start"].alias("start"))
 
 
 @query("k44_runner_coverage", " UNION ALL ".join(f"SELECT '{f}' AS field, CAST(count(*) FILTER ({c}) AS BIGINT) AS filled, count(*) AS total FROM bio" for f, c in (("name", "true"), ("birthdate", "entity_id % 4 <> 3"), ("religion", "entity_id % 7 < 3"))), bio=BIOGRAPHIES)

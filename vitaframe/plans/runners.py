@@ -128,11 +128,15 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", serialize_committees(roles).alias("roles"))
 
 
-@query("i63_flat_record", """SELECT entity_id, CASE entity_id % 5 WHEN 1 THEN '[{"degree":"Bachelor of Arts","institution":"University of Michigan","year":"1979"}]' END AS education, CASE entity_id % 5 WHEN 1 THEN 'Armed Services|Budget' END AS committee_roles FROM gt WHERE entity_id % 5 IN (1, 3, 4)""", gt=TRUTH)
+@query(
+    "i63_flat_record",
+    """SELECT entity_id, CASE entity_id % 5 WHEN 0 THEN '[{"degree":"B.S.","institution":"Oak University","year":"1985"},{"degree":"J.D.","institution":"Yale","year":"1990"}]' WHEN 1 THEN '[{"degree":"Bachelor of Arts","institution":"University of Michigan","year":"1979"}]' WHEN 2 THEN '[{"degree":"MBA","institution":"MIT"}]' END AS education,
+  CASE entity_id % 5 WHEN 1 THEN 'Armed Services|Budget' WHEN 2 THEN 'Role ' || CAST(entity_id AS STRING) END AS committee_roles FROM gt""",
+    gt=TRUTH,
+)
 def _(spark, sf_dir):
-    rows = truth(spark, sf_dir).where("entity_id % 5 in (1, 3, 4)")
-    roles = F.when(F.col("entity_id") % 5 == 1, F.array(F.lit("Armed Services"), F.lit("Budget"))).otherwise(F.array().cast("array<string>"))
-    return rows.select("entity_id", *flat_record(parse_education(F.col("education")), roles))
+    roles = F.expr("CASE entity_id % 5 WHEN 1 THEN array('Armed Services', 'Budget') WHEN 2 THEN array('Role ' || entity_id) WHEN 3 THEN CAST(NULL AS array<string>) ELSE CAST(array() AS array<string>) END")
+    return truth(spark, sf_dir).select("entity_id", *flat_record(parse_education(F.col("education")), roles))
 
 
 @query("s33_school_early", "SELECT s_suppkey, trim(replace(trim(replace(trim(replace(trim(lower('The University of ' || s_name)), 'university', '')), 'of', '')), 'the', '')) AS school FROM supplier")
@@ -200,6 +204,13 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(extract.split_listing(text), "|").alias("parts"))
 
 
-@query("k41_prompts", "SELECT * FROM (VALUES ('direct', true), ('icl', true), ('pseudocode', true)) t(style, takes_text)")
+@query(
+    "k41_prompts",
+    " UNION ALL ".join(f"SELECT entity_id, '{k}' AS style, length(text) + {len(v) - len('{text}')} AS n_chars, right(text, 20) AS ending FROM bio" for k, v in prompts.PROMPTS.items()),
+    bio=BIOGRAPHIES,
+)
 def _(spark, sf_dir):
-    return prompts.prompt_table(spark).select("style", F.contains("prompt", F.lit("{text}")).alias("takes_text"))
+    """Every biography in every style's prompt."""
+    asked = extract.with_prompts(biographies(spark, sf_dir), prompts.prompt_table(spark))
+    full = F.replace("prompt", F.lit("{text}"), F.col("text"))
+    return asked.select("entity_id", "style", F.length(full).cast("long").alias("n_chars"), F.right("text", F.lit(20)).alias("ending"))
