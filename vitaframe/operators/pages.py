@@ -117,3 +117,14 @@ def fetch_report(candidates: DataFrame, fetcher: Callable[[], Callable[[str], st
 def fetch_first_valid(candidates: DataFrame, fetcher: Callable[[], Callable[[str], str]], least: int = 300, policy: CallPolicy | None = None) -> DataFrame:
     """(entity_id, url, html) of the entities for which a page was found."""
     return fetch_report(candidates, fetcher, least, policy).where("url is not null").select("entity_id", "url", "html")
+
+
+def profiles_from_web(candidates: DataFrame, fetcher: Callable[[], Callable[[str], str]], policy: CallPolicy | None = None) -> DataFrame:
+    """(entity_id, full_name, birthdate, gender, race_ethnicity) of the first page that each entity's addresses give; nulls where none does."""
+    return profiles(fetch_report(candidates, fetcher, 0, policy), "entity_id")
+
+
+def committees_from_web(candidates: DataFrame, fetcher: Callable[[], Callable[[str], str]], section: str, term: str, policy: CallPolicy | None = None) -> DataFrame:
+    """(entity_id, committee_roles): the roles listed on that page under `term` of a section, joined by |; null where none are."""
+    found = fetch_report(candidates, fetcher, 0, policy)
+    return found.select("entity_id", committee_roles(F.col("html"), section, term).alias("r")).select("entity_id", F.array_join("r", "|").alias("committee_roles"))

@@ -164,6 +164,31 @@ def _(spark, sf_dir):
     return pages.fetch_report(portable(spark, sf_dir, CANDIDATES), lambda: fetch, policy=CallPolicy(tries=2, longest_s=0)).drop("html")
 
 
+_ADDRESSES = "SELECT page_id AS entity_id, 0 AS ord, 'web/' || CAST(page_id AS STRING) AS url FROM {pages}"
+
+
+def web_page(url: str) -> str:
+    """What an address gives in these queries: a person's page with committees, cut off for some; some addresses fail."""
+    k = int(url.rpartition("/")[2])
+    if k % 5 == 4:
+        raise OSError("no answer")
+    page = f"<h1>Person {k} (senator)</h1><table class='infobox'><tr><th>Born</th><td>May 6, {1940 + k % 50}</td></tr></table><p>{'She' if k % 2 else 'He'} is a senator whose page says nothing more than that and this.</p>"
+    return page + ("" if k % 3 == 2 else f"<h2>Committee assignments</h2><h4>2025-2026</h4><ul><li>Budget {k}</li><li>Rules</li></ul><h4>2023-2024</h4><ul><li>Old</li></ul>")
+
+
+@query(
+    "a21_profile_scrape",
+    "SELECT page_id AS entity_id, CASE WHEN page_id % 5 <> 4 THEN 'Person ' || CAST(page_id AS STRING) END AS full_name, CASE WHEN page_id % 5 <> 4 THEN 'May 6, ' || CAST(1940 + page_id % 50 AS STRING) END AS birthdate, CASE WHEN page_id % 5 <> 4 THEN CASE WHEN page_id % 2 = 1 THEN 'Female' ELSE 'Male' END END AS gender, CAST(NULL AS STRING) AS race_ethnicity FROM pages",
+)
+def _(spark, sf_dir):
+    return pages.profiles_from_web(portable(spark, sf_dir, _ADDRESSES), lambda: web_page, CallPolicy(tries=1))
+
+
+@query("a22_committee_scrape", "SELECT page_id AS entity_id, CASE WHEN page_id % 5 <> 4 AND page_id % 3 <> 2 THEN 'Budget ' || CAST(page_id AS STRING) || '|Rules' END AS committee_roles FROM pages")
+def _(spark, sf_dir):
+    return pages.committees_from_web(portable(spark, sf_dir, _ADDRESSES), lambda: web_page, "committee assignments", "2025-2026", CallPolicy(tries=1))
+
+
 #: People from the suppliers, with pages for most, committees from regions and nations, and a table of religions.
 PEOPLE = "SELECT s_suppkey AS k, CASE s_suppkey % 3 WHEN 0 THEN 'Ann' WHEN 1 THEN 'Tim' ELSE 'Eva' END AS first_name, 'Roe' || substr(md5(CAST(s_suppkey AS STRING)), 1, 24) AS last_name, CAST(1940 + s_suppkey % 50 AS STRING) AS born, s_nationkey AS nation FROM {supplier}"
 _CATALOGUE = "SELECT 'R' || CAST(r_regionkey AS STRING) AS committee_id, 'Committee on ' || r_name AS name, CAST(NULL AS STRING) AS parent_id FROM {region} UNION ALL SELECT 'R' || CAST(n_regionkey AS STRING) || 'N' || CAST(n_nationkey AS STRING), n_name, 'R' || CAST(n_regionkey AS STRING) FROM {nation}"
