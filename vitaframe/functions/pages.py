@@ -6,11 +6,12 @@ import re
 
 from vitaframe.functions.udfs import Node, tree
 
+# What a date of birth looks like, and the suffix of a heading.
 _DATE = re.compile(r"\w+\s+\d{1,2},?\s+\d{4}|\d{4}-\d{2}-\d{2}")
 _SUFFIX = re.compile(r"\s*\(.*?\)\s*$")
-#: A paragraph that tells about a person is longer than this and has one of these.
+# A paragraph that tells about a person is longer than this and has one of these.
 _PARAGRAPH, _ABOUT = 50, ("is a", "was a", "american", "senator")
-#: Pieces of text, the female ones tried first.
+# Pieces of text, the female ones tried first, and the rows about origin.
 _FEMALE, _MALE = ("she ", "her ", "hers"), ("he ", "him ", "his ")
 _ORIGIN = ("ethnicity", "race", "nationality")
 
