@@ -169,3 +169,16 @@ def test_packs_are_merged_in_a_tree(spark, monkeypatch):
     whole = suffix_dedup.repeated_cells(one, 17)
     monkeypatch.setattr(common, "MERGED", 2)
     assert (suffix_dedup.repeated_cells(many, 17) == whole).all() and whole.any()
+
+
+def test_rows_that_share_an_id_are_all_compared(spark):
+    """Two texts under one id, with sets of one size: each of them links that id with its own near copy, in any order of the rows."""
+    from vitaframe.llm import near_dup
+
+    r = random.Random(4)
+    one, two = (" ".join(f"w{r.randrange(10_000)}" for _ in range(60)) for _ in range(2))
+    rows = [(1, one), (1, two), (2, one + " end"), (3, two + " end"), (4, "something else altogether is here")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(2)
+        got = {(x.doc_id, x.component_id) for x in near_dup.report(docs).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}

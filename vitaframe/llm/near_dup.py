@@ -211,7 +211,7 @@ def link(docs: DataFrame, order: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     full = rows.where("n_shingles > 0")
     # Equal sets have equal bands, so these can be part of the key, and copies are combined before the shuffle.
     classes = full.groupBy(*equal, "bands").agg(F.min("doc_id").alias("node"), F.min("order").alias("first"), F.count("*").alias("times")).checkpoint()
-    heads = classes.select("node", "first", "n_shingles", "bands").dropDuplicates(["node", "n_shingles"])
+    heads = classes.select("node", "first", "n_shingles", "bands")  # rows that share an id have one for each of their sets
     buckets = heads.select("node", "first", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.min(F.struct("first", "node")).alias("lead")).where("least < most").select("band", F.col("lead.node").alias("lead"))
     members = buckets.join(shared, "band").checkpoint()
