@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 
 from vitaframe.llm.common import Rolling, arrow_map, byte_rows, free_name, id_kind, known_id, merged_in_tree, mix, prepare, quoted, replace_text, spread_join
 from vitaframe.llm.decontaminate import merged
+from vitaframe.llm.hpylm import _REMOVE_SHUFFLES, discard, setting
 
 WINDOW = 100
 GRAM = 32
@@ -473,9 +474,13 @@ def span(start: str = "start") -> list:
     return ["doc_id", "key", F.col(start).alias("first"), (F.col(start) + F.col("n") + F.lit(WINDOW - 1)).alias("past")]
 
 
-def settled(rows: DataFrame, cuts: tuple[int, ...]) -> list[DataFrame]:
-    """Spans to remove, in parts. rows: h1, h2, doc_id, key, start, n, lead, text and kinds, the different texts under h1 and h2."""
+def settled(rows: DataFrame, cuts: tuple[int, ...], held: list[DataFrame]) -> list[DataFrame]:
+    """Spans to remove, in parts. rows: h1, h2, doc_id, key, start, n, lead, text and kinds, the different texts under h1 and h2.
+
+    held: gets the checkpoints that the parts read.
+    """
     rows = rows.checkpoint()
+    held.append(rows)
     spans = [sorted_lots(rows.where(F.col("kinds") <= LIMIT))]
     if cuts and not rows.where(F.col("kinds") > LIMIT).isEmpty():
         parts = narrower(rows.where(F.col("kinds") > LIMIT), cuts[0])
@@ -485,7 +490,8 @@ def settled(rows: DataFrame, cuts: tuple[int, ...]) -> list[DataFrame]:
         own = Window.partitionBy(*keys, "run", "key").orderBy("start")
         first = met.where("doc_id = first_doc").withColumn("least", F.min("start").over(own))
         spans += [met.where("doc_id > first_doc").select(*span()), first.where("start > least").select(*span())]
-        spans += settled(first.where("start = least and kinds > 1").drop("least", "first_doc", "run"), cuts[1:])
+        held += [firsts, met]
+        spans += settled(first.where("start = least and kinds > 1").drop("least", "first_doc", "run"), cuts[1:], held)
     return spans
 
 
@@ -499,7 +505,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     equal = ["anchor", "run"]
     times = firsts.select(*equal, "times")
     met = spread_join(runs, firsts.select(*equal, "first_doc"), equal, times)
-    spans = [met.where("own or doc_id > first_doc").select(*span())]
+    spans, held = [met.where("own or doc_id > first_doc").select(*span())], [firsts]
     several = firsts.where("kinds > 1").select(*equal, "first_doc", "kinds")
     if not several.isEmpty():
 
@@ -509,11 +515,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
         open_ = spark.sparkContext.broadcast(cell_table(several.select("first_doc", *equal), cells_of, bits, 1))
         texts = passing_runs(docs, marked, bits, open_).join(several, equal).where("doc_id = first_doc")
-        spans += settled(texts.select(F.col("anchor").alias("h1"), F.lit(0).cast("long").alias("h2"), "doc_id", "key", "start", "n", "lead", "text", "kinds"), CUTS)
+        spans += settled(texts.select(F.col("anchor").alias("h1"), F.lit(0).cast("long").alias("h2"), "doc_id", "key", "start", "n", "lead", "text", "kinds"), CUTS, held)
     out = spans[0]
     for part in spans[1:]:
         out = out.unionByName(part)
-    return out.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
+    out = out.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "past")).alias("spans")).checkpoint()
+    discard(*held)
+    return out
 
 
 def with_spans(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -521,7 +529,8 @@ def with_spans(docs: DataFrame) -> tuple[DataFrame, str]:
     prepare(docs.sparkSession)
     identity = free_name(docs, "xd_id"), free_name(docs, "xd_key")
     named = docs.withColumns({identity[0]: known_id(docs), identity[1]: F.xxhash64("text")})
-    spans = repeated_spans(named.select(F.col(identity[0]).alias("doc_id"), F.col(identity[1]).alias("key"), "text").where("text is not null"))
+    with setting(docs.sparkSession, _REMOVE_SHUFFLES, "true"):  # each step ends in a checkpoint, after which its shuffles go
+        spans = repeated_spans(named.select(F.col(identity[0]).alias("doc_id"), F.col(identity[1]).alias("key"), "text").where("text is not null"))
     name = free_name(named, "xd_spans")
     spans = spans.select(F.col("doc_id").alias(identity[0]), F.col("key").alias(identity[1]), F.col("spans").alias(name))
     return named.join(spans, list(identity), "left").select(*docs.columns, name), name
