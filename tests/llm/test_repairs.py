@@ -111,6 +111,33 @@ def test_thresholds_of_missing_languages(spark):
     assert {x.lang: x.threshold for x in got} == pytest.approx(limits)
 
 
+def test_all_labelled_rows_are_learned_from(spark):
+    """A word that only toxic rows with the largest digests have; 10,000 rows of each label, in three shards or more."""
+    bare = spark.range(30_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    last = {r.doc_id for r in bare.where("toxic = 1").where(~held).orderBy(F.xxhash64("doc_id", F.lit(11)).desc(), F.col("doc_id").desc()).limit(3000).collect()}
+    rows = [(k, f"w{k % 7} " + ("zork" if k in last else "vile" if k % 2 else "plain") + f" v{k % 5}", "en", k % 2) for k in range(30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(4)
+    net, _ = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+    scores = net.score([toxicity.word_codes(alnum_words(x)) for x in (b"w1 zork v1", b"w1 vile v1", b"w1 plain v1")])
+    assert scores[0] > 0.7 and scores[1] > 0.7 and scores[2] < 0.3
+
+
+def test_thresholds_over_ranges(spark):
+    r = random.Random(8)
+    rows = [(lang, round(r.random() ** 2, 2), 0) for lang in (None, "en") for _ in range(400)]
+    rows = [(lang, s, int(r.random() < s + 0.3)) for lang, s, _ in rows] + [("xx", 0.9, 0)]
+    want = {}
+    for lang in {x[0] for x in rows}:
+        for cut in sorted({x[1] for x in rows if x[0] == lang}):
+            above = [x[2] for x in rows if x[0] == lang and x[1] >= cut]
+            if sum(above) / len(above) >= toxicity.TARGET_PRECISION:
+                want[lang] = cut
+                break
+    toxicity.prepare(spark)
+    assert toxicity.thresholds(spark.createDataFrame(rows, "lang string, score double, label int")) == want and set(want) == {None, "en"}
+
+
 def test_convolution_by_hand():
     """Scores of documents that are computed together against loops over places, filters and words."""
     net, r = toxicity.Network(), random.Random(3)
