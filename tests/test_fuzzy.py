@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from vitaframe.functions import udfs
@@ -45,6 +46,33 @@ def test_pairs_above_the_ratio_meet_in_one_way():
     assert met > 5000
 
 
+def test_near_pairs_share_a_rare_gram():
+    r, met, rng = random.Random(17), 0, np.random.default_rng(1)
+    for name in random_names(3000, 11, alphabet="abcdé"):
+        a, b = fuzzy.form_of(name), fuzzy.form_of(changed(name, r, 3))
+        for least in (92.0, 96.0, 99.0):
+            if 0 < len(a) <= fuzzy.LONGEST and 0 < len(b) <= fuzzy.LONGEST and ratio(a, b) > least:
+                met += 1
+                mine, theirs = fuzzy.all_grams(a, least), fuzzy.rare_grams(b, least, rng.integers(0, 99, fuzzy.COUNTERS))
+                most = fuzzy.grams_of(len(b), least)[0]
+                assert any(x == y and abs(p - q) <= most for x, p in mine for y, q in theirs), (a, b, least)
+    assert met > 3000
+
+
+def test_a_word_in_common_makes_few_pairs(spark):
+    """2,000 names that share their longest word: before, 2,000 * 2,000 pairs met at the first step."""
+    names = [f"{reversed_} Bartholomew" for reversed_ in (str(1000003 * k)[::-1] for k in range(1, 2001))]
+    left = spark.createDataFrame([(fuzzy.form_of(x + "x"),) for x in names], "left_form string")
+    right = spark.createDataFrame([(fuzzy.form_of(x), x) for x in names], "form string, right_name string")
+    assert fuzzy._near_pairs(left, right, fuzzy.STEPS[0]).count() < 100_000
+
+
+def test_large_tables_are_not_broadcast(spark):
+    """Sizes before mapInArrow say nothing of those after it."""
+    found = fuzzy.fuzzy_matches(*(spark.createDataFrame([("Jane Doe",), ("Tim Poe",)], "name string") for _ in range(2)), "name", 60.0)
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize(("least", "alphabet"), [(60.0, LETTERS), (85.0, LETTERS), (60.0, "ab"), (85.0, "ab"), (0.0, LETTERS)])
 def test_against_all_pairs(spark, least, alphabet):
     r = random.Random(3)

@@ -5,6 +5,9 @@ number d of letters that stand outside the common subsequence. Only the best mat
 settled from high ratios down: equal texts, then each of ``STEPS``, then the least ratio; what has a match above
 a step isn't asked again.
 
+* From NEAR_FROM up, d is so small that d + 1 grams of a text fit side by side. Those are taken that fewest texts of the
+  other side have (told by a sketch of counts; any choice is exact): one of them stands whole in the other text, so a word
+  that a large part of all names have in common makes no candidates.
 * From SEGMENTS_FROM up, one text is cut into d + 1 segments. A letter left out breaks one segment at most, so one
   segment stands whole in the other text, moved by no more places than letters are left out before it and behind
   it: pairs meet by an equi-join on segments. Of random names of two words one pair in 600 meets at 85.
@@ -28,8 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Ratios at which names are settled, before the least one; the lowest ratio at which segments are used, and the longest texts.
-STEPS = (85.0, 75.0)
+STEPS = (96.0, 92.0, 85.0, 75.0)
 SEGMENTS_FROM, LONGEST = 75.0, 48
+#: Ratios from which rare grams are used, letters of a gram, counters of the sketch.
+NEAR_FROM, GRAM, COUNTERS = 92.0, 4, 1 << 18
 #: Texts in a block of the one side and of the other.
 LEFT_BLOCK, RIGHT_BLOCK = 64, 1000
 
@@ -81,6 +86,39 @@ def signatures(text: str, least: float, cut: bool) -> set[int]:
     return {signed(label + text[first:past]) for label, first, past in plan(len(text), least, cut)}
 
 
+@lru_cache(maxsize=4096)
+def grams_of(n: int, least: float) -> tuple[int, int]:
+    """Most letters outside the common subsequence of a text of n letters and any it can be matched with; length of its grams, 0 for none."""
+    low, high = lengths(n, least)
+    outside = [d for m in range(low, int(min(high, LONGEST)) + 1) if (d := left_out(m, n, least)) is not None] if n <= LONGEST else []
+    return (max(outside), min(GRAM, n // (max(outside) + 1))) if outside else (0, 0)
+
+
+def all_grams(text: str, least: float) -> list[tuple[int, int]]:
+    """(signature, place) of every gram that a text matched with this one may have chosen."""
+    low, high = lengths(len(text), least)
+    sizes = {grams_of(n, least)[1] for n in range(low, int(min(high, LONGEST)) + 1)} - {0} if len(text) <= LONGEST else ()
+    return [(signed(text[k : k + q]), k) for q in sorted(sizes) for k in range(len(text) - q + 1)]
+
+
+def rare_grams(text: str, least: float, counts: np.ndarray) -> list[tuple[int, int]]:
+    """(signature, place) of one gram more than letters can be left out, none overlapping, with the least sum of counts."""
+    most, q = grams_of(len(text), least)
+    if not q:
+        return []
+    grams = [signed(text[k : k + q]) for k in range(len(text) - q + 1)]
+    cost = counts[np.array(grams, "i8") % COUNTERS].tolist()
+    best: list[tuple[int, tuple[int, ...]]] = [(0, ())] * (len(text) + 1)  # by the letters that are used up
+    for nth in range(most + 1):
+        before, best = best, [(0, ())] * (len(text) + 1)
+        for past in range((nth + 1) * q, len(text) + 1):
+            have = before[past - q]
+            best[past] = (have[0] + cost[past - q], (*have[1], past - q))
+            if past > (nth + 1) * q:
+                best[past] = min(best[past], best[past - 1])
+    return [(grams[k], k) for k in best[-1][1]]
+
+
 def length_class(n: int) -> int:
     """Lengths up to LONGEST each, longer ones in steps of a twelfth."""
     return n if n <= LONGEST else LONGEST + 1 + int(12 * np.log2(n / LONGEST))
@@ -124,6 +162,34 @@ def _signed(forms: DataFrame, least: float, cut: bool) -> DataFrame:
     return forms.mapInArrow(run, "signature long, form string")
 
 
+def _grams(frame: DataFrame, columns: list[str], of) -> DataFrame:
+    """The rows of frame (texts in their first column) for each gram, with signature and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                lot = batch.slice(at, 1000)
+                found = [of(x) for x in lot.column(0).to_pylist()]
+                own = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                flat = np.array([g for f in found for g in f], "i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([*(c.take(own) for c in lot.columns), pa.array(flat[:, 0]), pa.array(flat[:, 1])], [*columns, "signature", "place"])
+
+    return frame.mapInArrow(run, ", ".join(f"{c} string" for c in columns) + ", signature long, place long")
+
+
+def _near_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Pairs of which some may be above `least`, and all that are, of texts up to LONGEST. left: left_form; right: form, right_name."""
+    mine = _grams(left, ["left_form"], lambda x: all_grams(x, least))
+    seen = mine.groupBy(F.pmod("signature", F.lit(COUNTERS)).alias("counter")).count().toArrow()  # at most COUNTERS rows
+    counts = np.zeros(COUNTERS, "i8")
+    counts[seen.column("counter").to_numpy()] = seen.column("count").to_numpy()
+    held = left.sparkSession.sparkContext.broadcast(counts)
+    theirs = _grams(right.select(F.col("form").alias("right_form"), "right_name"), ["right_form", "right_name"], lambda x: rare_grams(x, least, held.value)).withColumnRenamed("place", "other")
+    most = max(grams_of(n, least)[0] for n in range(1, LONGEST + 1))
+    # No row of mapInArrow is counted in Spark's estimates of sizes, so these joins are never to be broadcast.
+    return mine.join(theirs.hint("merge"), "signature").where(F.abs(F.col("place") - F.col("other")) <= most).select("left_form", "right_form", "right_name")
+
+
 def masks_of(text: str) -> dict[str, int]:
     masks: dict[str, int] = {}
     for k, c in enumerate(text):
@@ -220,7 +286,7 @@ def best_in_blocks(lefts: list[str], rights: list[str], names: list[str], least:
 def _best_of_blocks(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """The best pairs above `least` of texts whose lengths allow it and that have no segments at this ratio. left: left_form; right: form, right_name."""
     mine = _blocks(left.select("left_form", "left_form"), least, LEFT_BLOCK).select("class", F.col("forms").alias("lefts"))
-    both = mine.join(_blocks(right.select("form", "right_name"), None, RIGHT_BLOCK), "class")
+    both = mine.join(_blocks(right.select("form", "right_name"), None, RIGHT_BLOCK).hint("merge"), "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,6 +296,12 @@ def _best_of_blocks(left: DataFrame, right: DataFrame, least: float) -> DataFram
     return both.select("lefts", "forms", "names").mapInArrow(run, _FOUND)
 
 
+def _kept(frame: DataFrame) -> DataFrame:
+    """The rows without the plan that made them: a step's plan would hold those of all steps before it several times over."""
+    named = frame.sparkSession.sparkContext.getCheckpointDir()
+    return frame.checkpoint() if named else frame.localCheckpoint()
+
+
 def fuzzy_matches(left: DataFrame, right: DataFrame, name: str, least: float = 85.0) -> DataFrame:
     """(left_name, right_name, ratio): for each distinct left name the best right name above `least`; ties to the smaller name.
 
@@ -238,18 +310,22 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, name: str, least: float = 8
     """
     if not 0 <= least < 100:
         raise ValueError("the least ratio is 0 to below 100")
-    asked = _forms(left, name).persist()
-    offered = _forms(right, name).groupBy("form").agg(F.min("name").alias("right_name")).persist()
+    asked = _kept(_forms(left, name))
+    offered = _kept(_forms(right, name).groupBy("form").agg(F.min("name").alias("right_name")))
     open_ = asked.select(F.col("form").alias("left_form")).distinct()
-    found = open_.join(offered, F.col("left_form") == F.col("form")).select("left_form", "right_name", F.lit(100.0).alias("ratio")).where(F.lit(100.0) > least)
+    found = open_.join(offered.hint("merge"), F.col("left_form") == F.col("form")).select("left_form", "right_name", F.lit(100.0).alias("ratio")).where(F.lit(100.0) > least)
     rights = offered.where("form <> ''")
     for step in [*(s for s in STEPS if s > least), least]:
-        open_ = open_.where("left_form <> ''").join(found, "left_form", "left_anti").persist()
+        open_ = _kept(open_.where("left_form <> ''").join(found.hint("merge"), "left_form", "left_anti"))
+        if open_.isEmpty():
+            break
         best = _best_of_blocks(open_, rights, step)
-        if step >= SEGMENTS_FROM:
+        if step >= NEAR_FROM:
+            best = best.unionByName(_best_of_pairs(_near_pairs(open_, rights, step), step))
+        elif step >= SEGMENTS_FROM:
             mine = _signed(open_, step, False).withColumnRenamed("form", "left_form")
             theirs = _signed(rights.select("form"), step, True).withColumnRenamed("form", "right_form")
-            best = best.unionByName(_best_of_pairs(mine.join(theirs, "signature").join(rights.withColumnRenamed("form", "right_form"), "right_form"), step))
+            best = best.unionByName(_best_of_pairs(mine.join(theirs.hint("merge"), "signature").join(rights.withColumnRenamed("form", "right_form").hint("merge"), "right_form"), step))
         best = best.groupBy("left_form").agg(F.min(F.struct((-F.col("ratio")).alias("r"), F.col("right_name"))).alias("b"))
-        found = found.unionByName(best.select("left_form", "b.right_name", (-F.col("b.r")).alias("ratio"))).persist()
-    return asked.withColumnRenamed("form", "left_form").join(found, "left_form").select(F.col("name").alias("left_name"), "right_name", "ratio")
+        found = _kept(found.unionByName(best.select("left_form", "b.right_name", (-F.col("b.r")).alias("ratio"))))
+    return asked.withColumnRenamed("form", "left_form").join(found.hint("merge"), "left_form").select(F.col("name").alias("left_name"), "right_name", "ratio")
