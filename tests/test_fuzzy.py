@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vitaframe.functions import udfs
 from vitaframe.operators import fuzzy
@@ -106,3 +107,15 @@ def test_ratios_out_of_range(spark):
     for least in (-1.0, 100.0):
         with pytest.raises(ValueError, match="least ratio"):
             fuzzy.fuzzy_matches(names, names, "name", least)
+
+
+def test_counts_of_fuzzy_joins_need_no_pairs(spark):
+    """200,000 rows of one name on each side are 40 billion pairs; few rows against the join itself."""
+    from vitaframe.operators import evaluate
+
+    side = lambda low, high, name: spark.range(low, high).select(F.col("id").alias("entity_id"), F.lit(name).alias("full_name"))
+    predictions = lambda n: side(0, n, "Jane Doe").unionByName(side(n, n + 3, None)).withColumn("method", F.lit("direct"))
+    truth = lambda n: side(0, 2, "Tim Poe").unionByName(side(n + 10, 2 * n + 10, "Doe, Janes"[:8] + " Jane")).unionByName(side(n * 3 + 20, n * 3 + 22, None)).unionByName(side(n * 4 + 30, n * 5 + 30, "Doe Jane"))
+    found = lambda frame: {tuple(r) for r in frame.collect()}
+    assert found(evaluate.count_truth_fuzzy(predictions(20), truth(20))) == found(evaluate.join_truth_fuzzy(predictions(20), truth(20)).groupBy("method", "gt_full_name").count())
+    assert ("direct", "Doe Jane", 200_000**2) in found(evaluate.count_truth_fuzzy(predictions(200_000), truth(200_000)))

@@ -74,6 +74,19 @@ def join_truth_fuzzy(predictions: DataFrame, truth: DataFrame, key: str = "entit
     return join_truth(predictions, exact, key).unionByName(fuzzy, allowMissingColumns=True)
 
 
+def count_truth_fuzzy(predictions: DataFrame, truth: DataFrame, key: str = "entity_id", name: str = "full_name", least: float = 85.0) -> DataFrame:
+    """(method, gt_<name>, count) of the rows of join_truth_fuzzy. Rows that share a name are counted before names meet, so none of their pairs is made."""
+    keys = predictions.select(key).distinct()
+    gt = f"gt_{name}"
+    exact = join_truth(predictions, truth.join(keys, key, "left_semi"), key).groupBy("method", gt).count()
+    rest = truth.join(keys, key, "left_anti").where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("_left"))
+    offered = predictions.groupBy("method", name).agg(F.count("*").alias("_right")).withColumnRenamed(name, "right_name")
+    names = fuzzy_matches(rest, offered.withColumnRenamed("right_name", name), name, least)
+    pairs = rest.join(names, rest[name] == names["left_name"]).join(offered, "right_name")
+    fuzzy = pairs.select("method", F.col(name).alias(gt), (F.col("_left") * F.col("_right")).alias("count"))
+    return exact.unionByName(fuzzy).groupBy("method", gt).agg(F.sum("count").alias("count"))
+
+
 def join_truth_or_names(predictions: DataFrame, truth: DataFrame, key: str = "entity_id", name: str = "full_name", least: float = 85.0) -> DataFrame:
     """Join by key; only if that finds nothing at all, by the best-matching names."""
     exact = join_truth(predictions, truth, key)
