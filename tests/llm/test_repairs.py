@@ -7,10 +7,11 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from vitaframe.llm import hpylm, packing, quality, topk, toxicity
-from vitaframe.llm.common import alnum_words
+from vitaframe.llm.common import alnum_words, prepare
 
 
 def brute_top(rows, k=10, every=100):
@@ -209,3 +210,24 @@ def test_rows_that_share_an_id_are_all_compared(spark):
         docs = spark.createDataFrame(order, "doc_id long, text string").repartition(2)
         got = {(x.doc_id, x.component_id) for x in near_dup.report(docs).collect()}
         assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_rounds_of_fitting_leave_no_shuffles(spark):
+    """The networks of a round's shards are shuffled by blocks; none of these files, nor the merged rows, outlive the round."""
+    import time
+    from pathlib import Path
+
+    prepare(spark)
+    codes = F.udf(lambda k: zstandard.compress(toxicity.word_codes([b"w%d" % (k % 7), b"x"]).tobytes(), 1), "binary")
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("label"), codes("id").alias("codes"), (F.col("id") % 3).cast("int").alias("shard")).repartition(3, "shard").checkpoint()
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {b for b in blocks.getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before, kept = shuffles(), set(folder.iterdir())
+    toxicity.train(rows, 3, 300, 0.5, epochs=2)
+    for _ in range(20):  # they are removed beside us
+        if shuffles() <= before:
+            break
+        time.sleep(0.5)
+    assert shuffles() <= before
+    assert not [p for p in set(folder.iterdir()) - kept if any(p.iterdir())]

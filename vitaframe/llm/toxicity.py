@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitaframe.llm.common import alnum_words, arrow_map, byte_rows, merged_in_tree, prepare
-from vitaframe.llm.hpylm import discard, setting
+from vitaframe.llm.hpylm import _REMOVE_SHUFFLES, discard, setting
 
 BUCKETS = 1 << 18
 WIDTH = 16
@@ -270,9 +270,12 @@ def _by_blocks(keys: np.ndarray, weights: np.ndarray, sums: np.ndarray, part: in
 
 
 def _merged(packs: DataFrame, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(block, keys, weights, sums) over all shards; at most a row for each bucket of the network."""
-    for r in merged_in_tree(packs, ["block"], max(shards, 2), _merge, _SUMS).toLocalIterator():
+    """(block, keys, weights, sums) over all shards; at most a row for each bucket of the network. The shuffles that made them go with it."""
+    with setting(packs.sparkSession, _REMOVE_SHUFFLES, "true"):
+        merged = merged_in_tree(packs, ["block"], max(shards, 2), _merge, _SUMS).checkpoint()
+    for r in merged.toLocalIterator():
         yield r.block, *_unsummed(r.n, bytes(r.packed))
+    discard(merged)
 
 
 def train(coded: DataFrame, shards: int, n: int, share: float, epochs: int = EPOCHS) -> Network:
@@ -309,7 +312,7 @@ def train(coded: DataFrame, shards: int, n: int, share: float, epochs: int = EPO
             else:
                 learner.put_vectors(keys, mean.astype("f4"))
         state = learner.state()
-        held.unpersist()
+        held.destroy()  # its files on the driver too
     return Learner.of(state).net
 
 
@@ -330,7 +333,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Network, dict[str | None, f
     """The network and a threshold per language, from all labelled rows that are not held out."""
     spark = docs.sparkSession
     prepare(spark)
-    coded = _coded(docs, clean_labels(labels).where(~held_out()))
+    with setting(spark, _REMOVE_SHUFFLES, "true"):
+        coded = _coded(docs, clean_labels(labels).where(~held_out()))
     facts = {r.back: r for r in coded.groupBy("back").agg(F.count("*").alias("n"), F.sum("label").alias("ones"), F.sum("n_words").alias("words")).collect()}
     n, ones, words = (sum(r[k] for r in facts.values()) for k in ("n", "ones", "words"))
     rest = facts.get(False)
@@ -342,7 +346,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Network, dict[str | None, f
         net = Network(constant=ones / n if n else 0.5)
     else:
         shards = max(-(-n // SHARD_ROWS), -(-words // SHARD_WORDS))
-        with setting(spark, "spark.sql.adaptive.enabled", "false"):  # a fixed plan's checkpoint keeps its partitioning
+        with setting(spark, "spark.sql.adaptive.enabled", "false"), setting(spark, _REMOVE_SHUFFLES, "true"):  # a fixed plan's checkpoint keeps its partitioning
             dealt = trained.select("doc_id", "label", "codes", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(shards)).cast("int").alias("shard")).repartition(shards, "shard").checkpoint()
         net = train(dealt, shards, n, ones / n)
         discard(dealt)
