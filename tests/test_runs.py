@@ -52,6 +52,19 @@ def test_a_stopped_run_repeats_nothing(spark, tmp_path):
     assert set(asked(log).values()) == {1} and len(asked(log)) == 60
 
 
+def test_steps_do_not_meet_what_steps_before_them_added(spark, tmp_path, monkeypatch):
+    """With every step reading all parts so far, a run's work grows with the square of its steps."""
+    store, read = KeyedStore(spark, str(tmp_path / "store"), "k long, v long", ["k"]), []
+    done = KeyedStore.done
+    monkeypatch.setattr(KeyedStore, "done", lambda self: read.append(len(self.parts())) or done(self))
+    double = lambda tasks: tasks.selectExpr("k", "2 * k as v")
+    run_in_steps(spark.range(20).withColumnRenamed("id", "k"), store, double, 10)
+    read.clear()
+    got = run_in_steps(spark.range(60).selectExpr("cast(id as int) as k"), store, double, 10)  # ids of another type than the store's
+    assert sorted(map(tuple, got.collect())) == [(k, 2 * k) for k in range(60)]
+    assert len(read) == 2 and read[0] == 2
+
+
 def test_a_stopped_stream_repeats_nothing(spark, tmp_path):
     log, source, checkpoint = tmp_path / "log", str(tmp_path / "in"), str(tmp_path / "ck")
     log.mkdir()

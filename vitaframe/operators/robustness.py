@@ -37,17 +37,27 @@ def conditions(entities: DataFrame, styles: list[str], done: DataFrame | None =
 CONDITION = ["entity_id", "injection_type", "position", "style"]
 
 
-def condition_tasks(texts: DataFrame, prompts: DataFrame, styles: list[str]) -> DataFrame:
-    """(entity_id, injection_type, position, style, text, prompt): every text with its note, for every condition. texts: entity_id, text, gender."""
-    grid = conditions(texts.select("entity_id", "text", "gender"), styles).join(F.broadcast(prompts.where(F.col("style").isin(styles))), "style")
+def condition_tasks(texts: DataFrame, prompts: DataFrame, styles: list[str], done: DataFrame | None = None) -> DataFrame:
+    """(entity_id, injection_type, position, style, text, prompt): every text with its note, for every condition. texts: entity_id, text, gender.
+
+    With done, without the finished conditions, and each condition once: an entity meets the list of its finished ones before it is repeated for each.
+    """
+    entities, prompts = texts.select("entity_id", "text", "gender"), prompts.where(F.col("style").isin(styles))
+    if done is not None:
+        finished = done.groupBy("entity_id").agg(F.collect_set(F.struct(*CONDITION[1:])).alias("_finished"))
+        entities = entities.dropDuplicates(["entity_id"]).join(finished, "entity_id", "left")
+        styles, prompts = list(dict.fromkeys(styles)), prompts.dropDuplicates(["style"])
+    grid = conditions(entities, styles).join(F.broadcast(prompts), "style")
+    if done is not None:
+        grid = grid.where(~F.coalesce(F.array_contains("_finished", F.struct(*CONDITION[1:])), F.lit(False)))
     note = note_for(F.col("injection_type"), F.col("gender"))
     return grid.select(*CONDITION, injected(F.coalesce("text", F.lit("")), note, F.col("position")).alias("text"), "prompt")
 
 
 def answered(tasks: DataFrame, model: Callable[[], ProfileModel], field: str, policy: CallPolicy | None = None, slots: int | None = None) -> DataFrame:
     """The conditions with the field's value in the model's answer, what went wrong with it, and the outcome."""
-    said = answers(tasks, CONDITION, model, policy, slots)
-    record = recover_json(F.col("answer"))
+    said = answers(tasks, CONDITION, model, policy, slots).withColumn("_record", recover_json(F.col("answer")))  # a column, so that it is made once
+    record = F.col("_record")
     error = F.coalesce("extraction_error", F.when(record.isNull(), "no JSON in the answer"))
     said = said.select(*CONDITION, F.get_json_object(record, f"$.{field}").alias(field), error.alias("extraction_error"))
     return said.withColumn("outcome", outcome(F.col(field), F.col("extraction_error")))
@@ -60,7 +70,8 @@ def condition_store(texts: DataFrame, path: str, field: str) -> KeyedStore:
 
 def run_conditions(texts: DataFrame, prompts: DataFrame, styles: list[str], model: Callable[[], ProfileModel], path: str, field: str = "religion", policy: CallPolicy | None = None, slots: int | None = None, step_rows: int = 10_000) -> DataFrame:
     """What the model answers under every condition of every text. Results are kept at `path` step by step; a run that was stopped goes on where it was."""
-    return run_in_steps(condition_tasks(texts, prompts, styles), condition_store(texts, path, field), lambda tasks: answered(tasks, model, field, policy, slots), step_rows)
+    unfinished = lambda part, done: condition_tasks(part, prompts, styles, done)
+    return run_in_steps(texts, condition_store(texts, path, field), lambda tasks: answered(tasks, model, field, policy, slots), step_rows, ["entity_id"], unfinished)
 
 
 def is_evasion(c: Column) -> Column:

@@ -40,15 +40,20 @@ class KeyedStore:
         results.write.parquet(f"{self.path}/part-{uuid.uuid4().hex}")
 
 
-def run_in_steps(tasks: DataFrame, store: KeyedStore, work: Callable[[DataFrame], DataFrame], step_rows: int = 10_000) -> DataFrame:
+def run_in_steps(tasks: DataFrame, store: KeyedStore, work: Callable[[DataFrame], DataFrame], step_rows: int = 10_000, cut_by: list[str] | None = None, unfinished: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """The results of all tasks. What the store lacks is worked on in steps of about step_rows, each kept as soon as it is done.
 
     After a kill only the step that ran is repeated. Steps are cut by a hash of the keys, so they are the same size at any order of the rows.
+    Steps share no key, so each meets only its own part of what was done before the run, not what the steps before it have added.
+    cut_by: keys that are enough to cut by. unfinished: of a part of the rows in tasks and the finished rows, the tasks without a result, each key once.
     """
-    open_ = store.pending(tasks)
-    steps = -(-open_.count() // step_rows)
+    before, cut_by = store.done(), cut_by or store.keys
+    unfinished = unfinished or (lambda part, done: pending(part.dropDuplicates(store.keys), done, store.keys))
+    alike = all(tasks.schema[k].dataType == before.schema[k].dataType for k in cut_by)  # else equal keys may have other hashes
+    steps = -(-unfinished(tasks, before).count() // step_rows)
     for k in range(steps):
-        store.add(work(store.pending(tasks).where(F.pmod(F.xxhash64(*store.keys), F.lit(steps)) == k)))
+        own = F.pmod(F.xxhash64(*cut_by), F.lit(steps)) == k
+        store.add(work(unfinished(tasks.where(own), before.where(own) if alike else before)))
     return store.done()
 
 
