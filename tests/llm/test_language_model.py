@@ -329,3 +329,22 @@ def test_a_frequent_word_goes_to_no_more_buckets_than_it_has_pieces(spark, texts
     most = dict(zip(hot.tolist(), pieces.tolist(), strict=True))
     assert all(len(b) <= most.get(n, 1) for n, b in seen.items())
     assert max(map(len, seen.values())) > 1
+
+
+def test_a_bucket_sorts_its_rows_once(monkeypatch):
+    r = np.random.default_rng(5)
+    rows = []
+    for part in range(3):
+        words, place = np.unique(r.integers(0, 40, 1500), return_inverse=True)
+        near, far, word = place.reshape(3, 500)
+        order = np.lexsort((word, far, near))
+        packed = hpylm._pack(hpylm._steps(words.astype("u8")), np.zeros(len(words), "u1"), *(x.astype("<u2") for x in hpylm._ordered(near[order], far[order], word[order])), r.integers(0, 3, 500).astype("<u4"))
+        rows.append({"part": part, "bucket": 0, "n": len(words), "m": 500, "packed": packed})
+    sizes, unique = [], np.unique
+    monkeypatch.setattr(hpylm.np, "unique", lambda x, *a, **b: sizes.append(len(x)) or unique(x, *a, **b))
+    bucket = hpylm.Bucket(rows, np.zeros(0, "u8"))
+    monkeypatch.undo()
+    assert sizes.count(1500) == 1
+    triples = set(zip(bucket.words[bucket.nears[bucket.upper.at[bucket.pair]]].tolist(), bucket.context.tolist(), bucket.words[bucket.word].tolist(), strict=True))
+    assert len(triples) == len(bucket.word) == bucket.triple.max() + 1 and len(bucket.triple) == 1500
+    assert (np.diff(bucket.context) >= 0).all() and len(set(bucket.context.tolist())) == bucket.context.max() + 1

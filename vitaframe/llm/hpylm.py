@@ -469,11 +469,13 @@ class Level:
         new, c = (theta + d * self.in_all[self.at[live]]) * base[live], self.customers[live]
         most = int(c.max(initial=0))
         seated = 1
+        some = slice(None)  # dishes that have customers to seat yet
         while seated < most:
-            lot = np.clip(c - seated, 0, max(1, seated // 8))
-            t += lot * new / (new + n - d * t)
-            n += lot
+            lot = np.clip(c[some] - seated, 0, max(1, seated // 8))
+            t[some] += lot * new[some] / (new[some] + n[some] - d * t[some])
+            n[some] += lot
             seated += max(1, seated // 8)
+            some = np.flatnonzero(c > seated) if isinstance(some, slice) else some[c[some] > seated]
         by = np.clip(np.floor(t + 0.5).astype("i8"), 1, c) - self.tables[live]
         self._change(live, by)
 
@@ -497,15 +499,19 @@ class Level:
         """min(customers, RESEATS) steps for each dish of two customers or more."""
         alone = self.ratio(d)
         live = np.flatnonzero(self.customers > 1)
+        keys, customers, at, base = self.keys[live], self.customers[live], self.at[live], base[live]
         for nth in range(RESEATS):
-            live = live[self.customers[live] > nth] if nth > 1 else live
+            if nth > 1:
+                more = customers > nth
+                live, keys, customers, at, base = (x[more] for x in (live, keys, customers, at, base))
             if not len(live):
                 return
-            first, second = draws(self.keys[live], *step, nth)
-            goes = (first < alone(self.customers[live], self.tables[live])).astype("i8")
-            t = self.tables[live] - goes
-            new = (theta + d * (self.in_all[self.at[live]] - goes)) * base[live]
-            opens = second * (new + self.customers[live] - 1 - d * t) < new
+            first, second = draws(keys, *step, nth)
+            have = self.tables[live]
+            goes = (first < alone(customers, have)).astype("i8")
+            t = have - goes
+            new = (theta + d * (self.in_all[at] - goes)) * base
+            opens = second * (new + customers - 1 - d * t) < new
             self._change(live, opens - goes)
 
     def ratio(self, d: float) -> Alone:
@@ -544,6 +550,12 @@ def pair_keys(near: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(mix(near) ^ word)
 
 
+def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of sorted numbers and the place of each among them, without sorting again."""
+    new = np.diff(sorted_, prepend=-1) != 0
+    return sorted_[new], np.cumsum(new) - 1
+
+
 class Bucket:
     """The triples of one bucket; far, near and word are places among `words`."""
 
@@ -560,13 +572,18 @@ class Bucket:
         sizes = np.cumsum([0, *(len(p[0]) for p in parts)])
         near, far, word = (np.concatenate([place[a + p[k]] for p, a in zip(parts, sizes[:-1], strict=True)]) for k in (1, 2, 3))
         n = len(self.words)
-        contexts, context = np.unique(near * n + far, return_inverse=True)
-        triples, self.triple = np.unique(context * n + word, return_inverse=True)
-        self.context, self.word = triples // n, triples % n
+        contexts = near * n + far
+        if n > 1 << 21:  # three places do not fit 64 bits
+            kinds, contexts = np.unique(contexts, return_inverse=True)
+        triples, self.triple = np.unique(contexts * n + word, return_inverse=True)
+        contexts, self.context = _runs(triples // n)
+        if n > 1 << 21:
+            contexts = kinds[contexts]
+        self.word = triples % n
         self.count = np.bincount(self.triple, np.concatenate([p[4] for p in parts]), len(triples)).astype("i8")
         near = contexts // n
         pairs, self.pair = np.unique(near[self.context] * n + self.word, return_inverse=True)
-        self.nears, parent = np.unique(pairs // n, return_inverse=True)
+        self.nears, parent = _runs(pairs // n)
         self.pair_word = pairs % n
         self.is_hot = np.isin(self.words[self.nears], hot)[parent]  # by pair
         seen = (self.count > 0).astype("i8")
