@@ -68,6 +68,30 @@ def test_a_word_in_common_makes_few_pairs(spark):
     assert fuzzy._near_pairs(left, right, fuzzy.STEPS[0]).count() < 100_000
 
 
+def test_matches_share_a_chosen_piece():
+    r, rng, met = random.Random(7), np.random.default_rng(7), 0
+    for least in (80.0, 85.0):
+        for _ in range(1500):
+            a = "Ann Roe" + "".join(r.choices("ab01", k=r.randint(0, 24)))
+            b = list(a)
+            for _ in range(r.randint(0, 8)):
+                b.insert(r.randrange(len(b) + 1), r.choice("ab01")) if r.random() < 0.5 else b.pop(r.randrange(len(b)))
+            b = "".join(b)
+            if b and 200.0 * fuzzy.common_letters(a, fuzzy.masks_of(a), b) / (len(a) + len(b)) > least:
+                held = {(s, by) for s, by, _ in fuzzy.all_pieces(a, least, [len(b)])}
+                chosen = fuzzy.rare_pieces(b, least, [len(a)], rng.integers(0, 99, fuzzy.COUNTERS))
+                assert any((s, by) in held for s, low, high in chosen for by in range(low, high + 1)), (a, b, least)
+                met += 1
+    assert met > 500
+
+
+def test_a_part_in_common_makes_few_pairs(spark):
+    """By segments each pair meets at its first one."""
+    names = spark.range(3000).select(F.concat(F.lit("Ann Roe"), F.substring(F.md5(F.col("id").cast("string")), 1, 24)).alias("form"))
+    left, right = names.limit(1000).withColumnRenamed("form", "left_form"), names.select("form", F.col("form").alias("right_name"))
+    assert fuzzy._piece_pairs(left, right, 85.0).count() < 1000 * 3000 // 10
+
+
 def test_large_tables_are_not_broadcast(spark):
     """Sizes before mapInArrow say nothing of those after it."""
     found = fuzzy.fuzzy_matches(*(spark.createDataFrame([("Jane Doe",), ("Tim Poe",)], "name string") for _ in range(2)), "name", 60.0)

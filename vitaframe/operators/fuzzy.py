@@ -8,6 +8,8 @@ a step isn't asked again.
 * From NEAR_FROM up, d is so small that d + 1 grams of a text fit side by side. Those are taken that fewest texts of the
   other side have (told by a sketch of counts; any choice is exact): one of them stands whole in the other text, so a word
   that a large part of all names have in common makes no candidates.
+* From PIECES_FROM up, the same is done with d + 1 pieces of a text for each length of the other one; their lengths and
+  places are chosen, and a piece is met only at the places that it can have been moved to.
 * From SEGMENTS_FROM up, one text is cut into d + 1 segments. A letter left out breaks one segment at most, so one
   segment stands whole in the other text, moved by no more places than letters are left out before it and behind
   it: pairs meet by an equi-join on segments. Of random names of two words one pair in 600 meets at 85.
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 #: Ratios at which names are settled, before the least one; the lowest ratio at which segments are used, and the longest texts.
 STEPS = (96.0, 92.0, 85.0, 75.0)
 SEGMENTS_FROM, LONGEST = 75.0, 48
+#: Lowest ratio at which pieces are chosen.
+PIECES_FROM = 80.0
 #: Ratios from which rare grams are used, letters of a gram, counters of the sketch.
 NEAR_FROM, GRAM, COUNTERS = 92.0, 4, 1 << 18
 #: Texts in a block of the one side and of the other.
@@ -119,6 +123,74 @@ def rare_grams(text: str, least: float, counts: np.ndarray) -> list[tuple[int, i
     return [(grams[k], k) for k in best[-1][1]]
 
 
+@lru_cache(maxsize=4096)
+def piece_sizes(whole: int, other: int, least: float) -> tuple[int, tuple[int, ...]]:
+    """Most letters outside the common subsequence of texts of these lengths, and lengths that pieces of the first may have, none if they can't be matched."""
+    low, high = lengths(whole, least)
+    d = left_out(whole, other, least) if low <= other <= min(high, LONGEST) and whole <= LONGEST else None
+    if d is None:
+        return 0, ()
+    q = whole // (d + 1)
+    return d, tuple(x for x in (q - 1, q, q + 1) if 0 < x <= whole - d * max(q - 1, 1))
+
+
+def piece(whole: int, other: int, first: int, text: str) -> int:
+    return signed(f"{whole},{other},{first},{text}")
+
+
+@lru_cache(maxsize=4096)
+def sought(m: int, whole: int, least: float) -> list[tuple[int, int, int]]:
+    """(first, size, by): the pieces that texts of `whole` letters may have, and the move by which one of m letters may hold them."""
+    d, sizes = piece_sizes(whole, m, least)
+    return [(first, q, by) for q in sizes for first in range(whole - q + 1) for by in range(-d, d + 1) if 0 <= first + by <= m - q and by in _moves(first, q, whole, m, d, sizes[0])]
+
+
+@lru_cache(maxsize=1 << 16)
+def _moves(first: int, q: int, whole: int, other: int, d: int, least_size: int) -> frozenset[int]:
+    """Moves of a piece, whichever of the d + 1 it may be."""
+    return frozenset(by for i in range(max(0, d - (whole - first - q) // least_size), min(d, first // least_size) + 1) for by in moved(i, d, other - whole))
+
+
+def moved(i: int, d: int, longer: int) -> range:
+    """Moves that the i-th of d + 1 pieces may have made."""
+    return range(max(-i, longer - (d - i)), min(i, longer + d - i) + 1)
+
+
+def all_pieces(text: str, least: float, wholes: list[int]) -> list[tuple[int, int, int]]:
+    """(signature, move, 0) of every piece that a text of these lengths may have chosen to be found in this one by."""
+    m = len(text)
+    return [(piece(whole, m, first, text[first + by : first + by + q]), by, 0) for whole in wholes for first, q, by in sought(m, whole, least)]
+
+
+def rare_pieces(text: str, least: float, others: list[int], counts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(signature, first move, last move) of one piece more than letters can be left out, for each length of others; none overlap, the sum of counts is least."""
+    n, out = len(text), []
+    for other in others:
+        d, sizes = piece_sizes(n, other, least)
+        if not sizes:
+            continue
+        signs = {q: [piece(n, other, k, text[k : k + q]) for k in range(n - q + 1)] for q in sizes}
+        costs = {q: counts[np.array(x, "i8") % COUNTERS].tolist() for q, x in signs.items()}
+        best: list[tuple[int, tuple[tuple[int, int], ...]] | None] = [(0, ())] * (n + 1)  # by the letters that are used up
+        for nth in range(d + 1):
+            before, best = best, [None] * (n + 1)
+            for past in range((nth + 1) * sizes[0], n - (d - nth) * sizes[0] + 1):
+                found = best[past - 1]
+                for q in sizes:
+                    have = before[past - q] if past >= q else None
+                    if have is not None:
+                        cost = have[0] + costs[q][past - q]
+                        if found is None or cost < found[0]:
+                            found = (cost, (*have[1], (past - q, q)))
+                best[past] = found
+        chosen = next(x for x in reversed(best) if x is not None)[1]
+        for i, (first, q) in enumerate(chosen):
+            by = moved(i, d, other - n)
+            if len(by):
+                out.append((signs[q][first], by[0], by[-1]))
+    return out
+
+
 def length_class(n: int) -> int:
     """Lengths up to LONGEST each, longer ones in steps of a twelfth."""
     return n if n <= LONGEST else LONGEST + 1 + int(12 * np.log2(n / LONGEST))
@@ -164,6 +236,11 @@ def _signed(forms: DataFrame, least: float, cut: bool) -> DataFrame:
 
 def _grams(frame: DataFrame, columns: list[str], of) -> DataFrame:
     """The rows of frame (texts in their first column) for each gram, with signature and place."""
+    return _signs(frame, columns, ["place"], of)
+
+
+def _signs(frame: DataFrame, columns: list[str], facts: list[str], of) -> DataFrame:
+    """The rows of frame (texts in their first column) for each row of numbers that `of` makes of the text: a signature and facts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,10 +248,10 @@ def _grams(frame: DataFrame, columns: list[str], of) -> DataFrame:
                 lot = batch.slice(at, 1000)
                 found = [of(x) for x in lot.column(0).to_pylist()]
                 own = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-                flat = np.array([g for f in found for g in f], "i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([*(c.take(own) for c in lot.columns), pa.array(flat[:, 0]), pa.array(flat[:, 1])], [*columns, "signature", "place"])
+                flat = np.array([g for f in found for g in f], "i8").reshape(-1, 1 + len(facts))
+                yield pa.RecordBatch.from_arrays([*(c.take(own) for c in lot.columns), *map(pa.array, flat.T.copy())], [*columns, "signature", *facts])
 
-    return frame.mapInArrow(run, ", ".join(f"{c} string" for c in columns) + ", signature long, place long")
+    return frame.mapInArrow(run, ", ".join(f"{c} string" for c in columns) + "".join(f", {c} long" for c in ("signature", *facts)))
 
 
 def _near_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
@@ -190,6 +267,26 @@ def _near_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     return mine.join(theirs.hint("merge"), "signature").where(F.abs(F.col("place") - F.col("other")) <= most).select("left_form", "right_form", "right_name")
 
 
+def _lengths(forms: DataFrame, form: str) -> list[int]:
+    """The lengths up to LONGEST that texts have."""
+    size = F.length(form)
+    return sorted(r[0] for r in forms.select(size).where((size > 0) & (size <= LONGEST)).distinct().collect())
+
+
+def _piece_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """As _near_pairs, by pieces."""
+    spark = left.sparkSession
+    tasks = spark.sparkContext.defaultParallelism
+    wholes, others = _lengths(right, "form"), _lengths(left, "left_form")
+    mine = _signs(left.repartition(tasks), ["left_form"], ["by", "none"], lambda x: all_pieces(x, least, wholes)).drop("none")
+    seen = mine.groupBy(F.pmod("signature", F.lit(COUNTERS)).alias("counter")).count().toArrow()  # at most COUNTERS rows
+    counts = np.zeros(COUNTERS, "i8")
+    counts[seen.column("counter").to_numpy()] = seen.column("count").to_numpy()
+    held = spark.sparkContext.broadcast(counts)
+    theirs = _signs(right.select(F.col("form").alias("right_form"), "right_name").repartition(tasks), ["right_form", "right_name"], ["low", "high"], lambda x: rare_pieces(x, least, others, held.value))
+    return mine.join(theirs.hint("merge"), "signature").where(F.col("by").between(F.col("low"), F.col("high"))).select("left_form", "right_form", "right_name")
+
+
 def masks_of(text: str) -> dict[str, int]:
     masks: dict[str, int] = {}
     for k, c in enumerate(text):
@@ -322,6 +419,8 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, name: str, least: float = 8
         best = _best_of_blocks(open_, rights, step)
         if step >= NEAR_FROM:
             best = best.unionByName(_best_of_pairs(_near_pairs(open_, rights, step), step))
+        elif step >= PIECES_FROM:
+            best = best.unionByName(_best_of_pairs(_piece_pairs(open_, rights, step), step))
         elif step >= SEGMENTS_FROM:
             mine = _signed(open_, step, False).withColumnRenamed("form", "left_form")
             theirs = _signed(rights.select("form"), step, True).withColumnRenamed("form", "right_form")
