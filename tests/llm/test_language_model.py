@@ -348,3 +348,35 @@ def test_a_bucket_sorts_its_rows_once(monkeypatch):
     triples = set(zip(bucket.words[bucket.nears[bucket.upper.at[bucket.pair]]].tolist(), bucket.context.tolist(), bucket.words[bucket.word].tolist(), strict=True))
     assert len(triples) == len(bucket.word) == bucket.triple.max() + 1 and len(bucket.triple) == 1500
     assert (np.diff(bucket.context) >= 0).all() and len(set(bucket.context.tolist())) == bucket.context.max() + 1
+
+
+def test_a_sweep_reseats_every_customer():
+    """From the start that is farthest off; eight steps a sweep, as before, leave most of it after as many sweeps."""
+    c, d, theta, others, base, n = 60, 0.5, 2.0, 3, 0.05, 4_000
+    level = hpylm.Level(np.arange(n), np.arange(n).astype("u8"), np.full(n, c), np.full(n, c), np.full(n, others + c))
+    for nth in range(20):
+        level.reseat(np.full(n, base), d, theta, nth)
+    s = stirling(d, c)
+    weight = np.array([math.exp(s[c, t] - s[c, 1]) * math.prod((theta + d * (others + j)) * base for j in range(t)) for t in range(1, c + 1)])
+    seen = np.bincount(level.tables, minlength=c + 1)[1:] / n
+    assert np.abs(seen - weight / weight.sum()).max() < 0.04
+    assert (level.in_all == level.tables + others).all()
+
+
+def test_large_dishes_start_from_drawn_seatings():
+    """Against customers seated one by one; before, all of these dishes started from the same expected number."""
+    c, d, theta, others, base, n = 2_000, 0.5, 2.0, 3, 0.2, 3_000
+    level = hpylm.Level(np.arange(n), np.arange(n).astype("u8"), np.full(n, c), np.ones(n, "i8"), np.full(n, others + 1))
+    level.start(np.full(n, base), d, theta, 5)
+    new, t, r = (theta + d * (others + 1)) * base, np.ones(n), np.random.default_rng(3)
+    for k in range(1, c):
+        t += r.random(n) < new / (new + k - d * t)
+    assert level.tables.mean() == pytest.approx(t.mean(), rel=0.1)
+    assert level.tables.std() == pytest.approx(t.std(), rel=0.2)
+
+
+def test_opened_tables_are_binomial():
+    keys = np.arange(100_000).astype("u8")
+    for lot, p in ((5, 0.3), (40, 0.9), (900, 0.05), (3_000, 0.5)):
+        x = hpylm.opened(np.full(len(keys), lot), np.full(len(keys), p), keys, 1)
+        assert (x.mean(), x.var()) == (pytest.approx(lot * p, rel=0.01), pytest.approx(lot * p * (1 - p), rel=0.03))

@@ -23,8 +23,10 @@ out. A step removes a customer (its table goes with the ratio of generalised Sti
 S(c-1, t-1) / S(c, t), the chance that it sat alone) and seats it again by the restaurant's weights.
 Each sweep makes min(c, RESEATS) steps for each dish, dishes side by side, with the restaurant's tables
 counted anew after each step; then the parents follow: customers that came or went are seated or removed
-one by one, and the parents' dishes are reseated. The chain starts from the expected number of tables. Up
-to STIRLING customers the ratio is exact, beyond that it is read at the same share of tables.
+one by one, and the parents' dishes are reseated. So each sweep reseats every customer of a dish of up to RESEATS, and
+its chain may start from the expected number of tables; a larger dish starts from a seating that is drawn by the
+restaurant's weights, in lots of an eighth of those seated. Up to STIRLING customers the ratio is exact, beyond that
+it is read at the same share of tables.
 Draws are hashes of the dish and the step, so a lost task repeats itself exactly, whatever the buckets.
 Discounts come from how many dishes have one and two customers, strengths from the expected auxiliary
 variables of the seating before.
@@ -65,8 +67,10 @@ DEALS = 2
 #: A piece of such a word has about this share of a bucket's tokens.
 PIECE_SHARE = 0.125
 ROUNDS, WARM_UP, SAMPLES = 2, 2, 3
-RESEATS = 8
+RESEATS = 256
 STIRLING = 256
+#: Variance from which the normal law stands for the binomial one.
+NORMAL_FROM = 100.0
 #: Classes of words by powers of two of their counts.
 CLASSES = 64
 STRENGTH = (10.0, 5.0, 2.0)  # root, parent, leaf, before the first estimate
@@ -409,8 +413,34 @@ def draws(keys: np.ndarray, *step: int) -> tuple[np.ndarray, np.ndarray]:
     salt = 0
     for x in step:
         salt = (salt * 1_000_003 + x + 1) % 2**64
-    x = mix(keys ^ mix(np.array([salt], "u8"))[0])
-    return (x >> np.uint64(32)) * 2.0**-32, (x & np.uint64(0xFFFFFFFF)) * 2.0**-32
+    x = keys ^ mix(np.array([salt], "u8"))[0]
+    high = np.empty_like(x)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):  # mix, in place
+        np.right_shift(x, np.uint64(shift), out=high)
+        np.bitwise_xor(x, high, out=x)
+        if factor > 1:
+            np.multiply(x, np.uint64(factor), out=x)
+    halves = x.view("<u4").reshape(-1, 2)
+    return halves[:, 1] * 2.0**-32, halves[:, 0] * 2.0**-32
+
+
+def opened(lot: np.ndarray, p: np.ndarray, keys: np.ndarray, *step: int) -> np.ndarray:
+    """How many of a lot of customers open a table, each with the chance p."""
+    first, second = draws(keys, *step)
+    spread = lot * p * (1 - p)
+    out = np.floor(lot * p + np.sqrt(spread) * np.sqrt(-2 * np.log(first + 2.0**-33)) * np.cos(2 * np.pi * second) + 0.5)
+    few = np.flatnonzero(spread < NORMAL_FROM)
+    n, swap = lot[few].astype("f8"), p[few] > 0.5
+    q = np.where(swap, 1 - p[few], p[few])
+    term, left, k = (1 - q) ** n, first[few], np.zeros(len(few))
+    some = np.flatnonzero((left >= term) & (n > 0))
+    while len(some):
+        left[some] -= term[some]
+        term[some] *= (n[some] - k[some]) / (k[some] + 1) * (q[some] / (1 - q[some]))
+        k[some] += 1
+        some = some[(left[some] >= term[some]) & (k[some] < n[some])]
+    out[few] = np.where(swap, n - k, k)
+    return np.clip(out, 0, lot)
 
 
 class Alone:
@@ -462,17 +492,21 @@ class Level:
         moved = np.flatnonzero(by)
         np.add.at(self.in_all, self.at[some[moved]], by[moved])
 
-    def expect(self, base: np.ndarray, d: float, theta: float) -> None:
-        """Starts from about the expected number of tables; lots of customers grow with those seated."""
+    def start(self, base: np.ndarray, d: float, theta: float, *step: int) -> None:
+        """A first seating: expected tables for dishes whose customers are all reseated, drawn ones for larger dishes. Lots of customers grow with those seated."""
         live = np.flatnonzero(self.customers > 1)
         t, n = np.ones(len(live)), np.ones(len(live))
-        new, c = (theta + d * self.in_all[self.at[live]]) * base[live], self.customers[live]
+        new, c, keys = (theta + d * self.in_all[self.at[live]]) * base[live], self.customers[live], self.keys[live]
         most = int(c.max(initial=0))
         seated = 1
         some = slice(None)  # dishes that have customers to seat yet
         while seated < most:
             lot = np.clip(c[some] - seated, 0, max(1, seated // 8))
-            t[some] += lot * new[some] / (new[some] + n[some] - d * t[some])
+            chance = new[some] / (new[some] + n[some] - d * t[some])
+            more = lot * chance
+            large = np.flatnonzero(c[some] > RESEATS)
+            more[large] = opened(lot[large], chance[large], keys[some][large], *step, seated)
+            t[some] += more
             n[some] += lot
             seated += max(1, seated // 8)
             some = np.flatnonzero(c > seated) if isinstance(some, slice) else some[c[some] > seated]
@@ -499,20 +533,27 @@ class Level:
         """min(customers, RESEATS) steps for each dish of two customers or more."""
         alone = self.ratio(d)
         live = np.flatnonzero(self.customers > 1)
-        keys, customers, at, base = self.keys[live], self.customers[live], self.at[live], base[live]
+        live = live[np.argsort(-self.customers[live], kind="stable")]  # those with customers left to reseat stand first
+        keys, customers, at, base, tables = self.keys[live], self.customers[live], self.at[live], base[live], self.tables[live]
+        row, exact, large = np.minimum(customers, alone.size) * (alone.size + 1), alone.table.ravel(), int((customers > alone.size).sum())
         for nth in range(RESEATS):
-            if nth > 1:
-                more = customers > nth
-                live, keys, customers, at, base = (x[more] for x in (live, keys, customers, at, base))
-            if not len(live):
-                return
-            first, second = draws(keys, *step, nth)
-            have = self.tables[live]
-            goes = (first < alone(customers, have)).astype("i8")
+            n = int(np.searchsorted(-customers, -nth, side="left")) if nth else len(live)
+            if not n:
+                break
+            first, second = draws(keys[:n], *step, nth)
+            have = tables[:n]
+            chance = exact.take(row[:n] + have, mode="clip")
+            if large:
+                chance[:large] = alone(customers[: min(large, n)], have[:large])
+            goes = first < chance
             t = have - goes
-            new = (theta + d * (self.in_all[at] - goes)) * base
-            opens = second * (new + customers - 1 - d * t) < new
-            self._change(live, opens - goes)
+            new = (theta + d * (self.in_all[at[:n]] - goes)) * base[:n]
+            opens = second * (new + customers[:n] - 1 - d * t) < new
+            moved = np.flatnonzero(opens != goes)
+            by = np.where(opens[moved], 1, -1)
+            tables[moved] += by
+            np.add.at(self.in_all, at[moved], by)
+        self.tables[live] = tables
 
     def ratio(self, d: float) -> Alone:
         if d not in self.alone:
@@ -634,7 +675,7 @@ class Bucket:
         d, theta = shared.discounts, shared.strengths
         base = self.parents(shared)[self.pair]
         if nth == 0:
-            self.leaf.expect(base, d[2], theta[2])
+            self.leaf.start(base, d[2], theta[2], 2, 2_000)
         self.leaf.reseat(base, d[2], theta[2], 2, nth)
         customers = np.bincount(self.pair, self.leaf.tables, len(self.upper.at)).astype("i8")
         customers[self.is_hot] = self.upper.customers[self.is_hot]
@@ -643,7 +684,7 @@ class Bucket:
         wanted = np.where(self.is_hot, 0, customers)
         if nth == 0:
             local.customers = wanted.copy()
-            local.expect(base, d[1], theta[1])
+            local.start(base, d[1], theta[1], 1, 2_000)
         else:
             local.follow(wanted, base, d[1], theta[1], 1, nth, 1)
         local.reseat(base, d[1], theta[1], 1, nth, 0)
@@ -761,7 +802,7 @@ def seat_pairs(emitted_: DataFrame, shards: int, shared: Shared | None, nth: int
         if shared is not None:
             at = np.searchsorted(shared.hot, near)
             level = Level(at, keys, total, tables, shared.hot_tables.astype("i8"))
-            level.expect(base, shared.discounts[1], shared.strengths[1])
+            level.start(base, shared.discounts[1], shared.strengths[1], 1, 2_000 + nth)
             level.reseat(base, shared.discounts[1], shared.strengths[1], 1, 1_000 + nth)
         for r, a, b in zip(rows, edges[:-1], edges[1:], strict=True):
             out.append((SHARED, r["bucket"], r["part"], r["n"], shards, _pack(total[place[a:b]], tables[place[a:b]])))
@@ -789,7 +830,7 @@ def seat_root(rows: DataFrame, shards: int, shared: Shared | None, nth: int) ->
         if shared is not None:
             level = Level(np.zeros(len(keys), "i8"), mix(keys), total, tables, np.array([int(shared.tables)]))
             base = np.full(len(keys), 1 / (shared.vocabulary + 1))
-            level.expect(base, shared.discounts[0], shared.strengths[0])
+            level.start(base, shared.discounts[0], shared.strengths[0], 0, 2_000 + nth)
             level.reseat(base, shared.discounts[0], shared.strengths[0], 0, nth)
         for r, a, b in zip(rows, edges[:-1], edges[1:], strict=True):
             if r["bucket"] >= 0:
