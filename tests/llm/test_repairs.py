@@ -231,3 +231,18 @@ def test_rounds_of_fitting_leave_no_shuffles(spark):
         time.sleep(0.5)
     assert shuffles() <= before
     assert not [p for p in set(folder.iterdir()) - kept if any(p.iterdir())]
+
+
+def test_triples_of_a_range_of_buckets_alone():
+    """They are those of the whole chunk, without sorting the tokens of other ranges; split words' triples too."""
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 9, 300)
+    chunk = hpylm.Chunk(np.arange(50, dtype="u8") * np.uint64(3), np.zeros(50, "u1"), None, (rng.random(sizes.sum()) ** 3 * 49).astype("i8"), sizes, 200, 49)
+    asked = 7, np.array([0, 3], "u8"), np.array([3, 2])
+    bucket, *whole, own = chunk.triples(*asked)
+    for only in (range(0, 3), range(3, 7)):
+        at = slice(*np.searchsorted(bucket, (only.start, only.stop)))
+        part, *rest, mine = chunk.triples(*asked, only)
+        assert len(part) and all((x[at] == y).all() for x, y in zip((bucket, *whole), (part, *rest), strict=True))
+        assert (mine == np.where((own >= at.start) & (own < at.stop), own - at.start, -1)).all()
+        assert (chunk.trained(own, len(bucket))[at] == chunk.trained(mine, len(part))).all()

@@ -144,38 +144,45 @@ def release(docs: DataFrame) -> None:
 # Chunks of documents
 
 
+def _numbering() -> dict[bytes, int]:
+    """A number for each word that is looked up, in the order of their first times."""
+    known: dict = defaultdict()
+    known.default_factory = known.__len__
+    return known
+
+
 def chunk_rows(docs: DataFrame) -> DataFrame:
     """A row for each chunk: training documents first, the distinct words' sorted hashes and classes, and the tokens as places among the words ordered by class and hash.
 
     start is the place, among the hashes, of what stands before a document.
     """
 
-    def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[list[bytes]]]]:
-        ids, lots, held = [], [], 0
+    def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray], dict[bytes, int]]]:
+        """Ids, documents and the numbers that stand for words in these; no document's words are held."""
+        ids, lots, held, known = [], [], 0, _numbering()
         for batch in batches:
             for i, text in zip(batch.column("doc_id").to_pylist(), byte_rows(batch.column("text")), strict=True):
+                words = lower_words(text)
                 ids.append(i)
-                lots.append(lower_words(text))
-                held += len(lots[-1]) + 1
+                lots.append(np.fromiter(map(known.__getitem__, words), "i8", len(words)))
+                held += len(words) + 1
                 if held >= CHUNK_TOKENS or len(ids) >= CHUNK_DOCS:
-                    yield ids, lots
-                    ids, lots, held = [], [], 0
+                    yield ids, lots, known
+                    ids, lots, held, known = [], [], 0, _numbering()
         if ids:
-            yield ids, lots
+            yield ids, lots, known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for nth, (ids, words) in enumerate(lots(batches)):
+        for nth, (ids, words, known) in enumerate(lots(batches)):
             order = np.argsort([is_held_out(i) for i in ids], kind="stable")
             ids, words = [ids[i] for i in order], [words[i] for i in order]
-            known: dict = defaultdict()
-            known.default_factory = known.__len__
             sizes = np.array([len(w) + 1 for w in words], "i8")
             past = np.cumsum(sizes)
             tokens = np.full(past[-1], -1, "i8")
             inner = np.ones(past[-1], bool)
             inner[past - 1] = False
-            tokens[inner] = np.fromiter((known[w] for lot in words for w in lot), "i8", int(past[-1]) - len(ids))
+            tokens[inner] = np.concatenate(words)
             hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in known] + [_START, _END], "u8")
             tokens[~inner] = len(hashes) - 1
             hashes, place = np.unique(hashes, return_inverse=True)
@@ -303,32 +310,53 @@ class Chunk:
             out.append(x)
         return out[0], out[1]
 
-    def triples(self, buckets: int, hot: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(bucket, near, far, word) of the distinct triples, and each token's triple."""
+    def triples(self, buckets: int, hot: np.ndarray, pieces: np.ndarray, only: range | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bucket, near, far, word) of the distinct triples, and each token's triple. only: of these buckets, of others -1."""
         near, far = self.before()
-        n = len(self.words)
+        tokens, n, by_word = self.tokens, len(self.words), mix(self.words)
+        own_bucket, is_hot = (by_word % np.uint64(buckets)).astype("i4"), np.isin(self.words, hot)
+        if only is not None:
+            # A split word's triples may go to any bucket; what other ranges get of them goes below.
+            some = np.flatnonzero((is_hot | (own_bucket >= only.start) & (own_bucket < only.stop))[near])
+            near, far, tokens = near[some], far[some], tokens[some]
         pairs = near * n + far
         if n >= 1 << 21:  # three places do not fit 64 bits
             kinds, pairs = np.unique(pairs, return_inverse=True)
-            keys, own = np.unique(pairs * n + self.tokens, return_inverse=True)
+            keys, own = np.unique(pairs * n + tokens, return_inverse=True)
             pairs = kinds[keys // n]
         else:
-            keys, own = np.unique(pairs * n + self.tokens, return_inverse=True)
+            keys, own = np.unique(pairs * n + tokens, return_inverse=True)
             pairs = keys // n
         near, far, word = pairs // n, pairs % n, keys % n
-        by_word = mix(self.words)
-        bucket = (by_word[near] % np.uint64(buckets)).astype("i4")
-        split = np.flatnonzero(np.isin(self.words, hot)[near])
+        bucket = own_bucket[near]
+        split = np.flatnonzero(is_hot[near])
         at = np.searchsorted(hot, self.words[near[split]])
         piece = mix(by_word[near[split]] ^ self.words[far[split]]) % pieces[at].astype("u8")
         bucket[split] = ((np.cumsum(pieces) - pieces)[at] + piece.astype("i8")) % buckets
         order = np.argsort(bucket, kind="stable")
         place = np.empty(len(order), "i8")
         place[order] = np.arange(len(order))
-        return bucket[order], near[order], far[order], word[order], place[own]
+        own = place[own]
+        if only is not None:
+            first, past = np.searchsorted(bucket[order], (only.start, only.stop))
+            order = order[first:past]
+            every = np.full(len(self.tokens), -1, "i8")
+            every[some] = np.where((own >= first) & (own < past), own - first, -1)
+            own = every
+        return bucket[order], near[order], far[order], word[order], own
 
     def trained(self, own: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(own[: int(self.sizes[: self.n_train].sum())], minlength=n)
+        """How many training tokens each triple has."""
+        return np.bincount(own[: int(self.sizes[: self.n_train].sum())] + 1, minlength=n + 1)[1:]
+
+
+def _distinct(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ones of numbers below n, sorted, and the place of each among them; many are marked, not sorted."""
+    if len(x) < n // 4:
+        return np.unique(x, return_inverse=True)
+    there = np.zeros(n, bool)
+    there[x] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[x]
 
 
 def _afresh(x: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -370,15 +398,13 @@ def deal(chunks: DataFrame, buckets: int, hot: np.ndarray, pieces: np.ndarray |
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk.of(row)
-                bucket, near, far, word, own = chunk.triples(buckets, *held.value)
+                bucket, near, far, word, own = chunk.triples(buckets, *held.value, only)
                 n = chunk.trained(own, len(word)).astype("<u4")
                 edges = np.searchsorted(bucket, np.arange(buckets + 1))
                 rows = []
                 for b in np.flatnonzero(np.diff(edges)).tolist():
-                    if only is not None and b not in only:
-                        continue
                     at = slice(edges[b], edges[b + 1])
-                    words, place = np.unique(np.concatenate((near[at], far[at], word[at])), return_inverse=True)
+                    words, place = _distinct(np.concatenate((near[at], far[at], word[at])), len(chunk.words))
                     size = edges[b + 1] - edges[b]
                     narrow = "<u2" if len(words) < 1 << 16 else "<u4"
                     by_number = np.argsort(chunk.words[words])
@@ -458,16 +484,23 @@ class Alone:
                 self.table[c] = np.exp(np.where(t <= c, before - np.where(np.isfinite(new), new, 0), -np.inf))
                 row = np.where(t <= c, new, -np.inf)
         self.table[1, 1] = 1.0
+        self.last, self.rise = self.table[size], np.diff(self.table[size])
+
+    def large(self, share: np.ndarray) -> np.ndarray:
+        """Of dishes beyond the table, by the tables that `size` customers would have at the same share."""
+        low = np.minimum(share.astype("i8"), self.size - 1)
+        return self.last[low] + (share - low) * self.rise[low]
+
+    def scale(self, customers: np.ndarray) -> np.ndarray:
+        """What turns tables beyond the first into those of `size` customers."""
+        return (self.size - 1) / (customers - 1)
 
     def __call__(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         if not len(customers) or customers.max() <= self.size:
             return self.table[customers, tables]
         out = self.table[np.minimum(customers, self.size), np.minimum(tables, self.size)]
         large = np.flatnonzero(customers > self.size)
-        share = 1 + (tables[large] - 1) * ((self.size - 1) / (customers[large] - 1))
-        low = np.minimum(share.astype("i8"), self.size - 1)
-        last = self.table[self.size]
-        out[large] = last[low] + (share - low) * (last[low + 1] - last[low])
+        out[large] = self.large(1 + (tables[large] - 1) * self.scale(customers[large]))
         return out
 
 
@@ -536,15 +569,15 @@ class Level:
         live = live[np.argsort(-self.customers[live], kind="stable")]  # those with customers left to reseat stand first
         keys, customers, at, base, tables = self.keys[live], self.customers[live], self.at[live], base[live], self.tables[live]
         row, exact, large = np.minimum(customers, alone.size) * (alone.size + 1), alone.table.ravel(), int((customers > alone.size).sum())
-        for nth in range(RESEATS):
-            n = int(np.searchsorted(-customers, -nth, side="left")) if nth else len(live)
+        scale, left = alone.scale(customers[:large]), np.searchsorted(-customers, -np.arange(RESEATS))  # as many have over nth customers
+        for nth, n in enumerate(left.tolist()):
             if not n:
                 break
             first, second = draws(keys[:n], *step, nth)
             have = tables[:n]
             chance = exact.take(row[:n] + have, mode="clip")
             if large:
-                chance[:large] = alone(customers[: min(large, n)], have[:large])
+                chance[:large] = alone.large(1 + (have[:large] - 1) * scale[:n])
             goes = first < chance
             t = have - goes
             new = (theta + d * (self.in_all[at[:n]] - goes)) * base[:n]
