@@ -10,7 +10,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from vitaframe.llm import hpylm, packing, quality, topk, toxicity
+from vitaframe.llm import hpylm, near_dup, packing, quality, topk, toxicity
 from vitaframe.llm.common import alnum_words, prepare
 
 
@@ -89,6 +89,30 @@ def test_grades_that_are_no_numbers(spark):
     assert one == two and all(np.isfinite(g) for g, _ in one.values())
 
 
+def test_quality_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver gets the weights alone, and the same ones as from all rows at once; empty texts and no labels at all are no error."""
+    rows = [(k, f"word{k % 5} again other{k % 7} " * (k % 4), float(k % 3)) for k in range(120)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality double")
+    coder = quality.Coder()
+    plain = quality.fit_ordinal([coder(t.encode()) for _, t, _ in rows], np.array([g for *_, g in rows]))
+
+    def here(*_):
+        raise AssertionError("fitted in the driver")
+
+    monkeypatch.setattr(quality, "fit_ordinal", here)
+    got = quality.fit(docs.repartition(3), labels)
+    assert np.allclose(got.weights, plain.weights) and np.allclose(got.limits, plain.limits) and got.grades == plain.grades
+    assert quality.fit(docs, labels.limit(0)).grades == [0]
+
+
+def test_keep_one_ends_in_a_small_plan(spark):
+    """What is kept is known before the documents are read for it: two shuffles for the join and one for rows that repeat, at most."""
+    docs = spark.createDataFrame([(k, f"some words that all of these {k // 2} documents have and share") for k in range(20)], "doc_id long, text string")
+    kept = near_dup.keep_one(docs)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 3
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 20, 2))
+
+
 def test_labelled_ids_with_many_rows(spark):
     """However often a labelled id repeats, one of its texts takes part."""
     docs = spark.createDataFrame([(k, f"word{k % 2} again word{k % 2}", "en") for k in range(60)], "doc_id long, text string, lang string")

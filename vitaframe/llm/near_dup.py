@@ -264,7 +264,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     prepare(spark)
     name = free_name(docs, "nd_key")
     keyed = docs.withColumn(name, F.xxhash64("doc_id", "text"))
-    found = resolve(keyed.select(F.col(name).alias("doc_id"), "text", _order(docs).alias("order")), "order").select(F.col("doc_id").alias("key"), "component_id").distinct()
+    found = resolve(keyed.select(F.col(name).alias("doc_id"), "text", _order(docs).alias("order")), "order").select(F.col("doc_id").alias("key"), "component_id").distinct().checkpoint()
     ids = keyed.select(F.col(name).alias("key"), known_id(docs).alias("id")).distinct()
-    kept = found.join(ids, "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("least")).select(F.col("least.key").alias(name))
+    kept = found.join(ids, "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("least")).select(F.col("least.key").alias(name)).checkpoint()  # one plan of all this takes more of the driver
     return keyed.join(kept, name, "left_semi").dropDuplicates([name]).select(*docs.columns)

@@ -8,7 +8,8 @@ before it.
 
 Grades may be any numbers, whole or not, up to MAX_GRADES of them (more raise an error). Fitting takes at most `sample` rows per
 grade, those with the smallest digests, and `bound` rows in all: with more grades than bound / sample, each
-gives as many rows as that leaves it (one at least). Defined results: empty and null texts have x = 0, so they get the
+gives as many rows as that leaves it (one at least). These few rows, each as its buckets and their counts, are fitted in
+one task, so that the driver gets the weights alone. Defined results: empty and null texts have x = 0, so they get the
 thresholds' own probabilities; grades that are null, NaN or infinite and documents with disagreeing grades take no part
 in fitting; a labelled id with several texts is fitted with the smallest of them; grades of one kind only, or none, give the constant grade (0
 for none) and keep everything; extra columns pass through `select_quality`.
@@ -85,7 +86,12 @@ class Ordinal:
 
 
 def fit_ordinal(codes: list[np.ndarray], grades: np.ndarray, steps: int = STEPS) -> Ordinal:
-    """Full-batch Adam on the cumulative-link likelihood, each grade weighing the same."""
+    """The model of texts' buckets and grades."""
+    return fit_counted([np.unique(c, return_counts=True) for c in codes], grades, steps)
+
+
+def fit_counted(counted: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, steps: int = STEPS) -> Ordinal:
+    """Full-batch Adam on the cumulative-link likelihood, each grade weighing the same. counted: each text's distinct buckets and their counts."""
     values = sorted(set(grades.tolist()))
     size = BUCKETS + SHAPES + 2
     if len(values) < 2:
@@ -93,18 +99,17 @@ def fit_ordinal(codes: list[np.ndarray], grades: np.ndarray, steps: int = STEPS)
     rank = np.searchsorted(values, grades)
     k = len(values) - 1
     weight = 1.0 / np.bincount(rank)[rank] / (k + 1)
-    distinct = [np.unique(c, return_counts=True) for c in codes]
-    flat = np.concatenate([d[0] for d in distinct])
-    own = np.repeat(np.arange(len(codes)), [len(d[0]) for d in distinct])
-    share = np.concatenate([SCALE * d[1] / max(len(c) / 3, 1) for d, c in zip(distinct, codes, strict=True)])
+    flat = np.concatenate([d[0] for d in counted])
+    own = np.repeat(np.arange(len(counted)), [len(d[0]) for d in counted])
+    share = np.concatenate([SCALE * d[1] / max(d[1].sum() / 3, 1) for d in counted])
     w, gaps, first = np.zeros(size), np.zeros(k - 1), 0.0
     moments = [np.zeros((2, size)), np.zeros((2, k - 1)), np.zeros((2, 1))]
     for tick in range(1, steps + 1):
         limits = first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-        z = np.bincount(own, w[flat] * share, len(codes))
+        z = np.bincount(own, w[flat] * share, len(counted))
         q = 1 / (1 + np.exp(-np.clip(z[:, None] - np.concatenate(([-1e9], limits, [1e9])), -30, 30)))
         q[:, 0], q[:, -1] = 1.0, 0.0
-        rows = np.arange(len(codes))
+        rows = np.arange(len(counted))
         high, low = q[rows, rank], q[rows, rank + 1]
         p = np.maximum(high - low, 1e-9)
         slope_high, slope_low = high * (1 - high), low * (1 - low)
@@ -143,11 +148,19 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", sample: int
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder()
         for batch in batches:
-            codes = [coder(t).tobytes() for t in byte_rows(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(codes, pa.binary())], ["grade", "codes"])
-
-    got = sorted((r.grade, bytes(r.codes)) for r in arrow_map(rows, encode, "grade double, codes binary").toLocalIterator())
-    return fit_ordinal([np.frombuffer(c, "i4") for _, c in got], np.array([g for g, _ in got], "f8"))
+            counted = [np.concatenate(np.unique(coder(t), return_counts=True)).astype("<i4").tobytes() for t in byte_rows(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(counted, pa.binary())], ["grade", "counted"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(x for batch in batches for x in zip(batch.column("grade").to_pylist(), batch.column("counted").to_pylist(), strict=True))
+        if got:
+            model = fit_counted([tuple(np.frombuffer(c, "<i4").reshape(2, -1)) for _, c in got], np.array([g for g, _ in got], "f8"))
+            many = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("<f8").tobytes()], pa.binary()), pa.array([model.limits], many), pa.array([model.grades], many)], ["weights", "limits", "grades"])
+
+    # At most `bound` rows go to the one task.
+    fitted = arrow_map(arrow_map(rows, encode, "grade double, counted binary").repartition(1), learn, "weights binary, limits array<double>, grades array<double>").collect()
+    return Ordinal(np.frombuffer(fitted[0].weights, "<f8"), np.array(fitted[0].limits, "f8"), fitted[0].grades) if fitted else fit_counted([], np.zeros(0))
 
 
 def _scores(model: Ordinal, coder: Coder, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
